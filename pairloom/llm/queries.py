@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import overlap
+from pairloom.llm import overlap, signature_tree, spans
 from pairloom.llm.store import table, written
 
 
@@ -23,9 +23,36 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.split_report(df, found, "pair_id", "source")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.near_duplicate_pairs(table(spark, sf_dir, "pairs"), "pair_id", ["human_text", "ai_text"]).select("field", "id_a", "id_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record and field: the class it belongs to and its number of links."""
+    return signature_tree.near_duplicate_groups(table(spark, sf_dir, "pairs"), "pair_id", ["human_text", "ai_text"])
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each text occurs word for word in other records."""
+    pairs = spans.record_texts(table(spark, sf_dir, "pairs"), "pair_id * 2", {"human_text": 0, "ai_text": 1})
+    outputs = spans.record_texts(table(spark, sf_dir, "gen_test"), "gen_id * 2 + 1", {"text": 2})
+    names = F.element_at(F.array(*map(F.lit, ("human_text", "ai_text", "text"))), F.col("field") + 1)
+    tbl = F.when(F.col("field") == 2, "gen_test").otherwise("pairs")
+    found = spans.shared_text([pairs, outputs])
+    return found.select(tbl.alias("tbl"), F.shiftright("record", 1).alias("row_id"), names.alias("field"), "size", "shared", "share")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_share(spark, sf_dir).select("tbl", "row_id", "field")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_share": p5_share,
 }
 
 #: None of these operators can be stated in SQL that ends in time on whole tables; the tests hold them
