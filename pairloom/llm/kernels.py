@@ -105,7 +105,7 @@ def windows_hash(codes: np.ndarray, k: int) -> np.ndarray:
             return mix(result)
         n = len(h) - span
         h = h[:n] * power + h[span : span + n]
-        span, power = span * 2, power * power
+        span, power = span * 2, U(int(power) ** 2 & (1 << 64) - 1)
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
