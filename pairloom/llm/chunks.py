@@ -58,8 +58,8 @@ def members(texts: DataFrame, least_words: int) -> DataFrame:
     return texts.mapInArrow(run, MEMBERS)
 
 
-def _chunked(raw: list[str], fields: list[str], mean: int, by_count: bool):
-    """Hash, total weight, and the distinct chunks (text, digest, weight) of each text of a batch."""
+def _chunked(raw: list[str], fields: list[str], mean: int):
+    """Hash, total length, and the distinct chunks (text, digest, length) of each text of a batch."""
     salt = {f: field_salt(f) for f in set(fields)}
     salts = np.array([salt[f] for f in fields], np.int64).reshape(-1)
     codes, offsets = K.folded(raw)
@@ -71,13 +71,11 @@ def _chunked(raw: list[str], fields: list[str], mean: int, by_count: bool):
         text, digest, length = text[order], digest[order], length[order]
         first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (digest[1:] != digest[:-1])])
         text, digest, length = text[first], digest[first], np.add.reduceat(length, first)
-    if by_count:
-        return h, np.bincount(text, minlength=len(raw)), text, digest, np.ones(len(text), np.int64)
     return h, np.diff(offsets), text, digest, length
 
 
-def postings(texts: DataFrame, least_words: int, mean: int, by_count: bool = False) -> DataFrame:
-    """A row for each distinct chunk of each distinct text, weighing its length or, by_count, one. Copies of a text are dropped within a task
+def postings(texts: DataFrame, least_words: int, mean: int) -> DataFrame:
+    """A row for each distinct chunk of each distinct text. Copies of a text are dropped within a task
     already, so a text adds at most one set of rows for each task, however often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +83,7 @@ def postings(texts: DataFrame, least_words: int, mean: int, by_count: bool = Fal
         for b in batches:
             keep = pa.array(in_scope(b["text"].to_pylist(), least_words))
             raw, fields, side = (b[c].filter(keep).to_pylist() for c in ("text", "field", "side"))
-            h, total, text, digest, length = _chunked(raw, fields, mean, by_count)
+            h, total, text, digest, length = _chunked(raw, fields, mean)
             new = np.zeros(len(raw), bool)
             for i, key in enumerate(zip(h.tolist(), side)):
                 if key not in seen:
@@ -107,14 +105,14 @@ def frequent_chunks(texts: DataFrame, least_words: int, mean: int) -> tuple[list
     return [r["digest"] for r in found], [int(r["count"] / share) for r in found]
 
 
-def ranked(texts: DataFrame, least_words: int, mean: int, by_count: bool = False) -> tuple[DataFrame, dict[int, int]]:
+def ranked(texts: DataFrame, least_words: int, mean: int) -> tuple[DataFrame, dict[int, int]]:
     """Postings with the number of texts that hold the chunk (df), without those of a single text.
 
     Frequent chunks get the highest df without a shuffle on their key; among the rest, no key has
     more than about HOT_IN_SAMPLE / SAMPLE_TEXTS of all texts, so counting in a window is even."""
     hot, projected = frequent_chunks(texts, least_words, mean)
     spark = texts.sparkSession
-    rows = postings(texts, least_words, mean, by_count)
+    rows = postings(texts, least_words, mean)
     hot_df = F.broadcast(spark.createDataFrame([(x,) for x in hot], "digest bigint"))
     tagged = rows.join(hot_df.withColumn("hot", F.lit(True)), "digest", "left")
     # a hot chunk's rows are spread by text, the others meet by chunk

@@ -9,7 +9,7 @@ from pairloom.llm import chunks as C
 from pairloom.llm.store import written
 
 #: Least share of the longer text that shared chunks make up.
-THETA = 0.36
+THETA = 0.35
 LEAST_WORDS = 30
 
 
