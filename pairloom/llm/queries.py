@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import overlap, signature_tree, spans
+from pairloom.llm import defects, overlap, signature_tree, spans, truncation
 from pairloom.llm.store import table, written
 
 
+def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, source, round, cut) of both tables, judged together."""
+    pairs = table(spark, sf_dir, "pairs").select(F.lit("pairs").alias("tbl"), F.col("pair_id").alias("row_id"), "source", F.lit(None).cast("int").alias("round"), F.col("human_text").alias("text"))
+    outputs = table(spark, sf_dir, "gen_test").select(F.lit("gen_test").alias("tbl"), F.col("gen_id").alias("row_id"), "source", "round", "text")
+    no_text = (F.col("tbl") == "gen_test") & (defects.is_empty(F.col("text")) | defects.is_refusal(defects.content(F.col("text"))))
+    return truncation.truncated_rows(pairs.unionByName(outputs), ["tbl", "row_id", "source", "round"], "text", no_text)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p1_rows(spark, sf_dir).where("cut").select("tbl", "row_id")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut rows of each source, and for gen_test of each round."""
+    return truncation.truncation_report(_p1_rows(spark, sf_dir), ["tbl", "source", "round"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pairs")
+    pairs = rows.select(F.lit("pairs").alias("tbl"), F.col("pair_id").alias("row_id"), F.col("ai_text").alias("answer"), F.col("human_text").alias("prompt"))
+    asked = rows.select("pair_id", F.col("ai_text").alias("prompt"))
+    outputs = table(spark, sf_dir, "gen_test").select("gen_id", "pair_id", F.col("text").alias("answer")).join(asked, "pair_id", "left").select(F.lit("gen_test").alias("tbl"), F.col("gen_id").alias("row_id"), "answer", "prompt")
+    return defects.defective_answers(pairs.unionByName(outputs), ["tbl", "row_id"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlap.cross_split_pairs(table(spark, sf_dir, "pairs"), "pair_id", "human_text", overlap.split_side())
     return pairs.select(F.least("id_0", "id_1").alias("id_a"), F.greatest("id_0", "id_1").alias("id_b"))
@@ -47,6 +72,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
