@@ -162,7 +162,7 @@ def defective_answers(df: DataFrame, keys: list[str], answer: str = "answer", pr
     empty = F.col("_answer").isNull() | (F.col("_x") == "") | F.col("_x").isin(PLACEHOLDERS)
     rule = F.when(empty, "empty").when(is_refusal(F.col("_content")), "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y")), F.lit(False)), "copy")
     x = x.withColumn("_rule", rule).select(*keys, "_answer", "_rule", "_length", "_hash")
-    judged = written(T.judged(T.ends(x, "_answer"), T.counted(base.where("_answer is not null"), "_answer")).select(*keys, "_rule", "_length", "_hash", "cut", "doubtful"), "judged")
+    judged = written(T.judged(T.ends(x, "_answer"), written(T.counted(base.where("_answer is not null"), "_answer"), "contexts")).select(*keys, "_rule", "_length", "_hash", "cut", "doubtful"), "judged")
     short = shortened_versions(base, "_answer").withColumnRenamed("text_hash", "_hash").withColumn("_short", F.lit(True))
     spikes = length_spikes(judged, "_length").withColumnRenamed("length", "_length").withColumn("_spike", F.lit(True))
     open_end = judged.where("_rule is null and doubtful").join(short, "_hash", "left").join(spikes, "_length", "left")

@@ -1,9 +1,10 @@
 """Problem 1: texts that stop before they are finished. Built-in expressions only.
 
 The last words of a complete text stand at many texts' ends; the last words of one that was cut stand
-inside many texts, but at hardly any end. So word trigrams are counted inside all texts and at all ends
-(numbers as 0, words by their last characters, where Korean shows what role a word has), and each text's
-final trigram is looked up. Contexts too rare to tell fall back to two words, one, and the last character.
+inside many texts, but at hardly any end. So words and word trigrams are counted inside all texts and at
+all ends (numbers as 0), and each text's final ones are looked up. A text may also be cut within a word: its
+last word then is a beginning of others, so words count inside for each of their beginnings, too. Contexts
+too rare to tell lean on the shorter ones: three words on one, one word on the last character.
 """
 
 from __future__ import annotations
@@ -11,12 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.store import written
+
 #: Ends of complete texts make up a few percent of a context's occurrences, cuts less than a thousandth.
-TERMINAL_SHARE = 0.012
+TERMINAL_SHARE = 0.010
 #: Up to here an end is doubtful.
-DOUBTFUL_SHARE = 0.03
-#: Occurrences that a context needs.
+DOUBTFUL_SHARE = 0.020
+#: Occurrences inside that a trigram needs to be looked at.
 LEAST = 20
+#: A shorter context weighs as much as so many occurrences of the longer one.
+PRIOR = 100.0
+#: Longer words, which no script with spaces has, are known by their last characters.
+LONGEST_WORD = 24
 # Marks put in place of a text's rest.
 MARKS = r"(?:[(\[<【〔]\s*(?:이하\s*)?(?:생략|중략|하략|계속|더보기|더 보기|전문 보기|truncated|continued|more|\.\.\.|…)\s*[)\]>】〕]|\.{2,}|…+)"
 
@@ -44,70 +51,79 @@ def body(text: Column) -> Column:
     return F.regexp_replace(t, r"(?U)\s+([.!?。])\s*\"?$|(?<=[.!?。])\s*\"$", "$1")
 
 
-def suffixes(text: Column) -> Column:
-    """Each word's last three characters; ^ before a shorter word."""
+def words(text: Column) -> Column:
+    """Words; numbers are 0, tags #, and each ideograph or kana a word."""
     t = F.regexp_replace(F.regexp_replace(text, r"#\S+", "#"), r"[0-9０-９]+(?:[.,][0-9０-９]+)*", "0")
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.length(w) > 3, F.right(w, F.lit(3))).otherwise(F.concat(F.lit("^"), w)))
+    t = F.when(t.rlike(r"[一-鿿぀-ヿ]"), F.regexp_replace(t, r"([一-鿿぀-ヿ。、，])", " $1 ")).otherwise(t)
+    return F.transform(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), lambda w: F.right(w, F.lit(LONGEST_WORD)))
 
 
-def trigram(words: Column, i: Column) -> Column:
-    return F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), F.get(words, i))
+def trigram(w: Column, i: Column) -> Column:
+    """The last three characters of three words: in Korean, they tell a word's role."""
+    last = lambda k: F.right(F.get(w, i - k), F.lit(3))
+    return F.concat_ws(" ", last(2), last(1), last(0))
 
 
 def cut_character(text: Column) -> Column:
-    """The end lies within a character: a replacement character, or a letter that needs another."""
-    return text.rlike(r"(�|[ᄀ-ᄒ]|&(?:#\d*|[a-z]{1,4})?|\\u[0-9a-f]{0,3})$") & ~text.rlike(r"\s&$")
+    """The end lies within a character, as a replacement character or a letter that needs another, or
+    right after a mark that nothing can end with."""
+    return text.rlike(r"([,，、(\[{“‘]|�|[ᄀ-ᄒ]|&(?:#\d*|[a-z]{1,4})?|\\u[0-9a-f]{0,3})$") & ~text.rlike(r"\s&$")
 
 
 def open_quotation(text: Column) -> Column:
-    """The last quotation isn't closed."""
-    back = F.reverse(text)
-    opened = F.instr(back, "“")
-    return (opened > 0) & ((F.instr(back, "”") == 0) | (F.instr(back, "”") > opened))
+    """The last quotation isn't closed, and no sentence ends within it."""
+    return text.rlike(r"“(?:[^”.!?。]|[.!?](?!\s)){0,200}$")
 
 
 def counted(texts: DataFrame, text_col: str) -> DataFrame:
-    """(context, inside, ending): word trigrams inside texts and at their ends, over all texts."""
-    words = texts.select(suffixes(body(composed(F.col(text_col)))).alias("w")).where(F.size("w") > 0)
-    rows = words.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: trigram(F.col("w"), i))).alias("i", "context"), F.size("w").alias("n"))
-    last = (F.col("i") == F.col("n") - 1).cast("bigint")
-    return rows.groupBy("context").agg(F.sum(1 - last).alias("inside"), F.sum(last).alias("ending"))
-
-
-def verdicts(counts: DataFrame) -> DataFrame:
-    """(context, share, level): for each trigram that ends a text, how terminal it is: the share of ends among
-    the occurrences of the longest context that LEAST others support. The text's own end isn't counted."""
-    two, one, char = F.substring_index("context", " ", -2), F.substring_index("context", " ", -1), F.right(F.col("context"), F.lit(1))
-    total = lambda key, name, df: df.groupBy(key.alias(name)).agg(F.sum("inside").alias(f"{name}_in"), F.sum("ending").alias(f"{name}_end"))
-    # each level is rolled up from the one before
-    c2 = total(two, "c2", counts)
-    c1 = c2.groupBy(F.substring_index("c2", " ", -1).alias("c1")).agg(F.sum("c2_in").alias("c1_in"), F.sum("c2_end").alias("c1_end"))
-    c0 = c1.groupBy(F.right(F.col("c1"), F.lit(1)).alias("c0")).agg(F.sum("c1_in").alias("c0_in"), F.sum("c1_end").alias("c0_end"))
-    ends = counts.where("ending > 0").withColumns({"c2": two, "c1": one, "c0": char})
-    x = ends.join(c2, "c2").join(c1, "c1").join(F.broadcast(c0), "c0")
-    enough = lambda i, e: F.col(i) + F.col(e) - 1 >= LEAST
-    share = lambda i, e: (F.col(e) - 1) / F.greatest(F.col(i) + F.col(e) - 1, F.lit(1))
-    pick = F.when(enough("inside", "ending"), F.struct(share("inside", "ending").alias("share"), F.lit(3).alias("level")))
-    for i, n in (("c2", 2), ("c1", 1)):
-        pick = pick.when(enough(f"{i}_in", f"{i}_end"), F.struct(share(f"{i}_in", f"{i}_end").alias("share"), F.lit(n).alias("level")))
-    pick = pick.otherwise(F.struct(share("c0_in", "c0_end").alias("share"), F.lit(0).alias("level")))
-    return x.select("context", pick.alias("p")).select("context", "p.share", "p.level")
+    """(kind, context, inside, ending): words (kind 1) and trigrams (kind 3) inside texts and at their ends."""
+    x = texts.select(words(body(composed(F.col(text_col)))).alias("w")).where(F.size("w") > 0)
+    pair = lambda i: F.array(F.struct(F.lit(1).cast("byte").alias("kind"), F.get("w", i).alias("context"), (i == F.size("w") - 1).alias("last")), F.struct(F.lit(3).cast("byte").alias("kind"), trigram(F.col("w"), i).alias("context"), (i == F.size("w") - 1).alias("last")))
+    rows = x.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), pair))).alias("c")).select("c.kind", "c.context", F.col("c.last").cast("bigint").alias("last"))
+    return rows.groupBy("kind", "context").agg(F.sum(1 - F.col("last")).alias("inside"), F.sum("last").alias("ending"))
+
+
+def beginnings(vocabulary: DataFrame) -> DataFrame:
+    """(context, longer): how often, inside texts, a longer word begins so. Stops after a word don't make it longer."""
+    core = F.regexp_replace("context", r"[.!?~…,\"”’。]+$", "")
+    one = vocabulary.where("inside > 0").select(core.alias("w"), "inside").groupBy("w").agg(F.sum("inside").alias("inside")).where(F.length("w") > 1)
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), F.lit(1), i)))
+    return one.select(cut.alias("context"), "inside").groupBy("context").agg(F.sum("inside").alias("longer"))
+
+
+def verdicts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((word, word_share), (trigram, inside, ending)) of the words and trigrams that end a text. The share is that
+    of ends among all occurrences, with one's own left out."""
+    vocabulary = written(counts.where("kind = 1").drop("kind"), "vocabulary")
+    begun = written(beginnings(vocabulary), "beginnings")
+    last = lambda c: F.right(F.col(c), F.lit(1))
+    ends = vocabulary.groupBy(last("context").alias("c0")).agg(F.sum("inside").alias("in0"), F.sum("ending").alias("end0")).where("end0 > 0")
+    goes_on = begun.groupBy(last("context").alias("c0")).agg(F.sum("longer").alias("on0"))
+    # one row for each character that ends a text: no more than there are characters
+    c0 = ends.join(goes_on, "c0", "left").select("c0", ((F.col("end0") - 1) / F.greatest(F.lit(1), F.col("in0") + F.col("end0") - 1 + F.coalesce("on0", F.lit(0)))).alias("share0"))
+    x = vocabulary.where("ending > 0").join(begun, "context", "left").withColumn("c0", last("context")).join(F.broadcast(c0), "c0")
+    n = F.col("inside") + F.col("ending") - 1 + F.coalesce("longer", F.lit(0))
+    word = x.select(F.col("context").alias("word"), F.col("inside").alias("word_in"), ((F.col("ending") - 1 + PRIOR * F.col("share0")) / (n + PRIOR)).alias("word_share"))
+    return word, counts.where("kind = 3 and ending > 0").select(F.col("context").alias("trigram"), "inside", "ending")
 
 
 def ends(rows: DataFrame, text_col: str) -> DataFrame:
-    """rows without the text, but with its final context and what can be seen at the end itself."""
-    x = rows.withColumn("_t", composed(F.col(text_col)))
-    x = x.withColumn("_b", body(F.col("_t")))
-    x = x.withColumns({"hard": cut_character(F.col("_b")) | open_quotation(F.col("_b")), "_w": suffixes(F.col("_b")), "marked": trimmed(F.col("_t")).rlike(rf"(?iU){MARKS}$")})
-    return x.withColumn("context", trigram(F.col("_w"), F.size("_w") - 1)).drop("_t", "_b", "_w", text_col)
+    """rows without the text, but with its final contexts and what can be seen at the end itself."""
+    x = rows.withColumn("_b", body(composed(F.col(text_col))))
+    x = x.withColumns({"hard": cut_character(F.col("_b")) | open_quotation(F.col("_b")), "_w": words(F.col("_b"))})
+    return x.withColumns({"word": F.get("_w", F.size("_w") - 1), "trails": trimmed(F.col(text_col)).rlike(r"(?:\.{2,}|…)$"), "trigram": trigram(F.col("_w"), F.size("_w") - 1)}).drop("_b", "_w", text_col)
 
 
 def judged(ended: DataFrame, counts: DataFrame) -> DataFrame:
-    """ended + (share, level, cut, doubtful)."""
-    x = ended.join(verdicts(counts), "context", "left")
+    """ended + (share, cut, doubtful)."""
+    word, three = verdicts(counts)
+    # an ellipsis stands in a stop's place: a word that is known to end sentences ends this one
+    stopped = word.where(F.col("word").endswith(".") & (F.col("word_in") >= LEAST)).select(F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(True).alias("trails"), F.col("word_share").alias("stop_share"))
+    x = ended.join(word.drop("word_in"), "word", "left").join(three, "trigram", "left").join(stopped, ["word", "trails"], "left")
+    smooth = (F.col("ending") - 1 + PRIOR * F.col("word_share")) / (F.col("inside") + F.col("ending") - 1 + PRIOR)
+    x = x.withColumn("share", F.coalesce("stop_share", F.when(F.col("inside") >= LEAST, smooth).otherwise(F.col("word_share"))))
     cut = F.col("hard") | (F.col("share") < TERMINAL_SHARE)
-    return x.withColumns({"cut": F.coalesce(cut, F.lit(False)), "doubtful": F.coalesce(~cut & (F.col("share") < DOUBTFUL_SHARE), F.lit(False))})
+    return x.withColumns({"cut": F.coalesce(cut, F.lit(False)), "doubtful": F.coalesce(~cut & (F.col("share") < DOUBTFUL_SHARE), F.lit(False))}).drop("inside", "ending", "word_share", "stop_share", "trails")
 
 
 def truncated_rows(rows: DataFrame, keys: list[str], text_col: str, exempt: Column | None = None) -> DataFrame:
@@ -117,8 +133,8 @@ def truncated_rows(rows: DataFrame, keys: list[str], text_col: str, exempt: Colu
     Repeated rows each get their own row. The contexts are counted over all rows; of very few rows the
     last character decides. An empty table gives no rows. Other columns are ignored."""
     kept = rows.select(*keys, F.col(text_col).alias("_text"), F.coalesce(exempt, F.lit(False)).alias("_exempt") if exempt is not None else F.lit(False).alias("_exempt"))
-    out = judged(ends(kept, "_text"), counted(rows.where(F.col(text_col).isNotNull()), text_col))
-    return out.select(*keys, (F.col("cut") & ~F.col("_exempt") & (F.coalesce("context", F.lit("")) != "")).alias("cut"))
+    counts = written(counted(rows.where(F.col(text_col).isNotNull()), text_col), "contexts")
+    return judged(ends(kept, "_text"), counts).select(*keys, (F.col("cut") & ~F.col("_exempt") & F.col("word").isNotNull()).alias("cut"))
 
 
 def truncation_report(judged_rows: DataFrame, by: list[str]) -> DataFrame:
