@@ -24,6 +24,8 @@ LEAST = 20
 PRIOR = 100.0
 #: Longer words, which no script with spaces has, are known by their last characters.
 LONGEST_WORD = 24
+#: Characters at a text's end that hold its last words; only a final word of hundreds of characters needs more.
+TAIL = 400
 # Marks put in place of a text's rest.
 MARKS = r"(?:[(\[<【〔]\s*(?:이하\s*)?(?:생략|중략|하략|계속|더보기|더 보기|전문 보기|truncated|continued|more|\.\.\.|…)\s*[)\]>】〕]|\.{2,}|…+)"
 
@@ -44,18 +46,39 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s​﻿]+$", "")
 
 
-def body(text: Column) -> Column:
-    """The text up to a mark that stands for the rest, without what layout puts around the last stop."""
-    t = F.regexp_replace(trimmed(text), rf"(?iU)(?:\s*{MARKS})+$", "")
+def tail(text: Column) -> Column:
+    """The end of a text, where marks, open quotations and its last words are looked for."""
+    return F.right(text, F.lit(TAIL))
+
+
+def end_body(end: Column) -> Column:
+    """A text's end up to a mark that stands for the rest, without what layout puts around the last stop."""
+    t = F.regexp_replace(trimmed(end), rf"(?iU)(?:\s*{MARKS})+$", "")
     t = F.regexp_replace(t, r"(?U)\s*```\s*$", "")
     return F.regexp_replace(t, r"(?U)\s+([.!?。])\s*\"?$|(?<=[.!?。])\s*\"$", "$1")
 
 
-def words(text: Column) -> Column:
-    """Words; numbers are 0, tags #, and each ideograph or kana a word."""
-    t = F.regexp_replace(F.regexp_replace(text, r"#\S+", "#"), r"[0-9０-９]+(?:[.,][0-9０-９]+)*", "0")
-    t = F.when(t.rlike(r"[一-鿿぀-ヿ]"), F.regexp_replace(t, r"([一-鿿぀-ヿ。、，])", " $1 ")).otherwise(t)
-    return F.transform(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), lambda w: F.right(w, F.lit(LONGEST_WORD)))
+def body(text: Column) -> Column:
+    """The whole text, its end as in end_body."""
+    return F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - TAIL, F.lit(0))), end_body(tail(text)))
+
+
+def pinned(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """df with a column that is evaluated once for each row, however often it is used later: exploding an
+    array of one keeps the optimizer from putting the expression in each place of its use."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(col)).alias(name))
+
+
+def with_words(df: DataFrame, text: str, name: str = "w") -> DataFrame:
+    """df with a text column replaced by its words; numbers are 0, tags #, and each ideograph or kana a word. What
+    is rare is looked for first, as a search costs less than a replacement."""
+    t = F.col(text)
+    x = pinned(df, text, F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, r"#\S+", "#")).otherwise(t))
+    x = pinned(x, text, F.replace(F.regexp_replace(t, r"[0-9０-９]+(?:[.,][0-9０-９]+)*", "0"), F.lit("\n"), F.lit(" ")))
+    odd = r"[一-鿿぀-ヿ\t\r\f\x0b\u0085\u00a0\u2000-\u200a\u2028-\u3000]"
+    x = pinned(x, text, F.when(t.rlike(odd), F.regexp_replace(t, r"(?U)([一-鿿぀-ヿ。、，])|\s+", " $1 ")).otherwise(t))
+    long = lambda w: F.when(F.length(w) > LONGEST_WORD, F.right(w, F.lit(LONGEST_WORD))).otherwise(w)
+    return pinned(x, name, F.transform(F.filter(F.split(t, " "), lambda w: w != ""), long)).drop(text)
 
 
 def trigram(w: Column, i: Column) -> Column:
@@ -77,10 +100,13 @@ def open_quotation(text: Column) -> Column:
 
 def counted(texts: DataFrame, text_col: str) -> DataFrame:
     """(kind, context, inside, ending): words (kind 1) and trigrams (kind 3) inside texts and at their ends."""
-    x = texts.select(words(body(composed(F.col(text_col)))).alias("w")).where(F.size("w") > 0)
-    pair = lambda i: F.array(F.struct(F.lit(1).cast("byte").alias("kind"), F.get("w", i).alias("context"), (i == F.size("w") - 1).alias("last")), F.struct(F.lit(3).cast("byte").alias("kind"), trigram(F.col("w"), i).alias("context"), (i == F.size("w") - 1).alias("last")))
-    rows = x.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), pair))).alias("c")).select("c.kind", "c.context", F.col("c.last").cast("bigint").alias("last"))
-    return rows.groupBy("kind", "context").agg(F.sum(1 - F.col("last")).alias("inside"), F.sum("last").alias("ending"))
+    x = pinned(texts.select(F.col(text_col).alias("t")), "t", composed(F.col("t")))
+    x = with_words(pinned(x, "t", body(F.col("t"))), "t").where(F.size("w") > 0)
+    rows = x.select("w", F.posexplode("w").alias("i", "word"))
+    rows = rows.select("word", trigram(F.col("w"), F.col("i")).alias("three"), (F.col("i") == F.size("w") - 1).cast("bigint").alias("last"))
+    both = rows.groupingSets([[F.col("word")], [F.col("three")]], F.col("word"), F.col("three"))
+    out = both.agg(F.grouping("word").alias("g"), F.sum(1 - F.col("last")).alias("inside"), F.sum("last").alias("ending"))
+    return out.select(F.when(F.col("g") == 1, 3).otherwise(1).cast("byte").alias("kind"), F.coalesce("word", "three").alias("context"), "inside", "ending")
 
 
 def beginnings(vocabulary: DataFrame) -> DataFrame:
@@ -109,9 +135,11 @@ def verdicts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ends(rows: DataFrame, text_col: str) -> DataFrame:
     """rows without the text, but with its final contexts and what can be seen at the end itself."""
-    x = rows.withColumn("_b", body(composed(F.col(text_col))))
-    x = x.withColumns({"hard": cut_character(F.col("_b")) | open_quotation(F.col("_b")), "_w": words(F.col("_b"))})
-    return x.withColumns({"word": F.get("_w", F.size("_w") - 1), "trails": trimmed(F.col(text_col)).rlike(r"(?:\.{2,}|…)$"), "trigram": trigram(F.col("_w"), F.size("_w") - 1)}).drop("_b", "_w", text_col)
+    x = pinned(rows, "_t", tail(F.col(text_col))).drop(text_col)
+    x = pinned(x, "_t", composed(F.col("_t")))
+    x = pinned(x.withColumn("trails", trimmed(F.col("_t")).rlike(r"(?:\.{2,}|…)$")), "_t", end_body(F.col("_t")))
+    x = with_words(x.withColumn("hard", cut_character(F.col("_t")) | open_quotation(F.col("_t"))), "_t", "_w")
+    return x.withColumns({"word": F.get("_w", F.size("_w") - 1), "trigram": trigram(F.col("_w"), F.size("_w") - 1)}).drop("_w")
 
 
 def judged(ended: DataFrame, counts: DataFrame) -> DataFrame:
