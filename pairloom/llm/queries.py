@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import defects, overlap, signature_tree, spans, truncation
+from pairloom.llm import defects, mixing, overlap, packing, reading, signature_tree, spans, truncation
 from pairloom.llm.store import table, written
 
 
@@ -71,6 +71,44 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_share(spark, sf_dir).select("tbl", "row_id", "field")
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, for each capacity."""
+    sized = packing.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    limits = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").orderBy("capacity_tokens", "container").collect()]
+    return packing.packed_all(sized, limits).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p6_pack(spark, sf_dir))
+
+
+def _p7_draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(targets.select("source").distinct()), "source")  # as many rows as targets
+    sized = packing.token_counts(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text"), "text")
+    return mixing.drawn(sized, targets), targets
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw: which documents of each source are used, and how often."""
+    return _p7_draw(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return mixing.share_report(*_p7_draw(spark, sf_dir))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of each document."""
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_docs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("level = 5 and korean_share >= 0.5").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -81,6 +119,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_share": p5_share,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 
 #: None of these operators can be stated in SQL that ends in time on whole tables; the tests hold them
