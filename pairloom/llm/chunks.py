@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pairloom.llm import kernels as K
 
 #: Mean chunk length in letters and digits.
-MEAN = 9
+MEAN = 11
+#: What one chunk weighs at most, so that a weight takes a byte and a looping text isn't all one chunk.
+HEAVIEST = 255
 #: Planning sample: it only decides which chunks skip the frequency shuffle, never which pairs are found.
 SAMPLE_TEXTS, HOT_IN_SAMPLE = 4000, 10
 HOT = np.iinfo(np.int32).max
 MEMBERS = "field string, side int, id bigint, text_hash bigint"
-POSTINGS = "digest bigint, doc bigint, side int, len int, total int"
+#: what: the text's total length, its side (one bit) and the chunk's length (16 bits), in one number, since a shuffled row takes eight bytes for each column.
+POSTINGS = "digest bigint, doc bigint, what bigint"
 PREFIX = "digest bigint, df int, doc bigint, side int, total int, tokens int, digests binary, lens binary"
 
 
@@ -59,7 +62,8 @@ def members(texts: DataFrame, least_words: int) -> DataFrame:
 
 
 def _chunked(raw: list[str], fields: list[str], mean: int):
-    """Hash, total length, and the distinct chunks (text, digest, length) of each text of a batch."""
+    """Hash, total weight, and the distinct chunks (text, digest, weight) of each text of a batch. A chunk weighs
+    its length, one that recurs all its lengths, but no more than HEAVIEST."""
     salt = {f: field_salt(f) for f in set(fields)}
     salts = np.array([salt[f] for f in fields], np.int64).reshape(-1)
     codes, offsets = K.folded(raw)
@@ -70,8 +74,8 @@ def _chunked(raw: list[str], fields: list[str], mean: int):
         order = np.lexsort((digest, text))
         text, digest, length = text[order], digest[order], length[order]
         first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (digest[1:] != digest[:-1])])
-        text, digest, length = text[first], digest[first], np.add.reduceat(length, first)
-    return h, np.diff(offsets), text, digest, length
+        text, digest, length = text[first], digest[first], np.minimum(np.add.reduceat(length, first), HEAVIEST)
+    return h, np.bincount(text, length, len(raw)).astype(np.int64), text, digest, length
 
 
 def postings(texts: DataFrame, least_words: int, mean: int) -> DataFrame:
@@ -91,7 +95,7 @@ def postings(texts: DataFrame, least_words: int, mean: int) -> DataFrame:
                     new[i] = True
             use = new[text] if len(text) else np.zeros(0, bool)
             text, digest, length = text[use], digest[use], length[use]
-            yield pa.record_batch([pa.array(digest), pa.array(h[text]), pa.array(np.array(side, np.int32)[text] if len(text) else np.zeros(0, np.int32)), pa.array(length.astype(np.int32)), pa.array(total[text].astype(np.int32))], names=["digest", "doc", "side", "len", "total"])
+            yield pa.record_batch([pa.array(digest), pa.array(h[text]), pa.array(total[text] << 17 | np.array(side, np.int64)[text] << 16 | length)], names=["digest", "doc", "what"])
 
     return texts.mapInArrow(run, POSTINGS)
 
@@ -119,7 +123,7 @@ def ranked(texts: DataFrame, least_words: int, mean: int) -> tuple[DataFrame, di
     key = F.when(F.col("hot"), F.col("doc")).otherwise(F.col("digest"))
     counted = tagged.withColumn("key", key).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key")).cast("int"))
     df = F.when(F.col("hot"), F.lit(int(HOT))).otherwise(F.col("df"))
-    return counted.select("digest", "doc", "side", "len", "total", df.alias("df")).where("df > 1"), dict(zip(hot, projected))
+    return counted.select("digest", "doc", "what", df.alias("df")).where("df > 1"), dict(zip(hot, projected))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], least: int = 200_000) -> Iterator[pa.Table]:
@@ -152,8 +156,9 @@ def prefixes(rows: DataFrame, theta: float) -> DataFrame:
     ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["doc", "side"]):
-            doc, side, digest, df, length, total = (t[c].to_numpy() for c in ("doc", "side", "digest", "df", "len", "total"))
+        for t in whole_groups(batches, ["doc"]):
+            doc, what, digest, df = (t[c].to_numpy() for c in ("doc", "what", "digest", "df"))
+            side, length, total = (what >> 16 & 1).astype(np.int32), (what & 65535).astype(np.int32), (what >> 17).astype(np.int32)
             start = np.r_[True, (doc[1:] != doc[:-1]) | (side[1:] != side[:-1])]
             keep = start | np.r_[True, digest[1:] != digest[:-1]]  # the same text from two tasks
             doc, side, digest, df, length, total = (x[keep] for x in (doc, side, digest, df, length, total))
@@ -165,13 +170,13 @@ def prefixes(rows: DataFrame, theta: float) -> DataFrame:
             before = np.repeat(total[begin] - shared, size) + upto - length
             use = np.flatnonzero(total - before >= theta * total)
             group = np.repeat(np.arange(len(begin)), size)[use]
-            d32, l16 = (digest & 0x7FFFFFFF).astype(np.int32), np.minimum(length, 65535).astype(np.uint16)
-            db, lb = d32.tobytes(), l16.tobytes()
+            d32, l8 = (digest & 0x7FFFFFFF).astype(np.int32), length.astype(np.uint8)
+            db, lb = d32.tobytes(), l8.tobytes()
             ds = [db[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), size.tolist())]
-            ls = [lb[2 * a : 2 * (a + n)] for a, n in zip(begin.tolist(), size.tolist())]
+            ls = [lb[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
             for a in range(0, len(use), 20_000):
                 u, g = use[a : a + 20_000], group[a : a + 20_000]
                 yield pa.record_batch([pa.array(digest[u]), pa.array(df[u]), pa.array(doc[u]), pa.array(side[u]), pa.array(total[u]), pa.array(size[g].astype(np.int32)), pa.array([ds[i] for i in g], pa.binary()), pa.array([ls[i] for i in g], pa.binary())], names=["digest", "df", "doc", "side", "total", "tokens", "digests", "lens"])
 
-    sorted_rows = rows.repartition("doc").sortWithinPartitions("doc", "side", "df", "digest")
+    sorted_rows = rows.repartition("doc").sortWithinPartitions("doc", (F.shiftright("what", 16)).bitwiseAND(F.lit(1)), "df", "digest")
     return sorted_rows.mapInArrow(run, PREFIX)

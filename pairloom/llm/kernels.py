@@ -147,7 +147,8 @@ def winnow(codes: np.ndarray, offsets: np.ndarray, k: int, span: int) -> tuple[n
 
 def content_chunks(codes: np.ndarray, offsets: np.ndarray, mean: int, window: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, digest, length) of content-defined chunks. A rolling hash over `window` code points
-    cuts after about one in `mean` of them, so that an edit moves only the cuts next to it."""
+    cuts after about one in `mean` of them, so that an edit moves only the cuts next to it. A chunk of more
+    than 255 is cut again after each 255."""
     texts, digests, lengths = [], [], []
     limit = U((1 << 64) // mean)
     for a, b in blocks(offsets):
@@ -163,6 +164,11 @@ def content_chunks(codes: np.ndarray, offsets: np.ndarray, mean: int, window: in
         ends = np.flatnonzero(cut) + 1
         starts = np.concatenate([[0], ends[:-1]])
         n = ends - starts
+        if (n > 255).any():
+            pieces = -(-n // 255)
+            first = np.repeat(np.r_[0, np.cumsum(pieces)][:-1], pieces)
+            starts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - first)
+            n = np.r_[starts[1:], len(c)] - starts
         place = np.arange(len(c), dtype=np.uint64) - np.repeat(starts, n).astype(np.uint64)
         digests.append(mix(np.add.reduceat(mix(c + (place << U(32))), starts) + n.astype(np.uint64)))
         lengths.append(n)

@@ -9,7 +9,7 @@ from pairloom.llm import chunks as C
 from pairloom.llm.store import written
 
 #: Least share of the longer text that shared chunks make up.
-THETA = 0.35
+THETA = 0.3
 LEAST_WORDS = 30
 
 
@@ -34,12 +34,12 @@ def shared_fraction(prefix: DataFrame, theta: float) -> DataFrame:
     b = prefix.where("side = 1").select("digest", *[F.col(c).alias(c + "_b") for c in cols])
     met = a.join(b, "digest").where("doc_a <> doc_b")
     first = met.where(f"least(total_a, total_b) >= {theta} * greatest(total_a, total_b)")
-    first = first.withColumns({"x": _unpacked("digests_a", 4), "n": _unpacked("lens_a", 2), "y": _unpacked("digests_b", 4)})
+    first = first.withColumns({"x": _unpacked("digests_a", 4), "n": _unpacked("lens_a", 1), "y": _unpacked("digests_b", 4)})
     # the chunk that a pair shares first in the common order lies in both prefixes: the pair is kept there only
     common = F.array_intersect("x", "y")
     low = F.conv(F.concat(*[F.substring(F.element_at("common", 1), p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     kept = first.withColumn("common", common).where(low == F.col("digest").bitwiseAND(F.lit(0x7FFFFFFF)))
-    size = F.transform(F.arrays_zip("x", "n"), lambda p: F.when(F.array_contains(F.col("common"), p["x"]), F.conv(F.concat(F.substring(p["n"], 3, 2), F.substring(p["n"], 1, 2)), 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    size = F.transform(F.arrays_zip("x", "n"), lambda p: F.when(F.array_contains(F.col("common"), p["x"]), F.conv(p["n"], 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     shared = F.aggregate(size, F.lit(0).cast("bigint"), lambda s, v: s + v)
     out = kept.withColumn("shared", shared).select("doc_a", "doc_b", "shared", (F.col("shared") / F.greatest("total_a", "total_b")).alias("fraction"))
     return out.where(F.col("fraction") >= theta)
