@@ -1,23 +1,13 @@
-"""Where intermediate tables live, and how Python workers find this package."""
+"""Where intermediate tables live."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let the session's Python workers import this package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
+from pairloom.plans.session import prepare
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
