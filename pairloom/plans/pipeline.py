@@ -15,7 +15,7 @@ from pairloom.sources.sinks import status
 class Stage:
     name: str
     run: Callable[[], None]
-    complete: Callable[[], bool] = lambda: False
+    complete: Callable[[], bool] | None = None  # nothing to check if None
     enough: Callable[[], bool] = lambda: True  # checked before the stage; false stops the run
 
 
@@ -42,13 +42,13 @@ class Plan:
             if not stage.enough():
                 self._note(stage, "stopped")
                 break
-            if stage.complete() and not force:
+            if stage.complete and stage.complete() and not force:
                 self._note(stage, "skipped")
             elif dry:
                 self._note(stage, "planned")
             else:
                 stage.run()
-                if stage.complete is not Stage.complete and stage.complete.__name__ != "<lambda>" and not stage.complete():
+                if stage.complete and not stage.complete():
                     self._note(stage, "incomplete")
                     raise RuntimeError(f"stage {stage.name} left its output incomplete")
                 self._note(stage, "done")
