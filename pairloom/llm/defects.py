@@ -56,7 +56,7 @@ def is_empty(text: Column) -> Column:
 def is_refusal(text: Column) -> Column:
     """The answer, as left by content(), itself declines. What it quotes doesn't count, nor do others' refusals that it reports:
     those are told in the past, of somebody else."""
-    t = F.regexp_replace(text, r"(?s)“.*?”|‘.*?’|'[^'\n]{0,80}'(?!\w)|\"[^\"\n]{0,80}\"", " ")
+    t = F.regexp_replace(text, r"(?s)“.*?”|‘.*?’|(?<![\p{L}\p{N}])'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"", " ")
     short = F.length(t) <= REFUSAL_LENGTH
     head = F.substring(t, 1, 160)
     ko = head.rlike(OPENING_KO) & t.rlike(DECLINE_KO)

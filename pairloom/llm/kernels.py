@@ -131,9 +131,10 @@ def winnow(codes: np.ndarray, offsets: np.ndarray, k: int, span: int) -> tuple[n
         length = np.diff(o)
         rest = np.repeat(o[1:], length)[: len(low)] - np.arange(len(low))
         low = np.where(rest >= span, low, U(0))
-        high = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), low]), width, np.maximum)
+        none = np.zeros(width - 1, np.uint64)
+        high = _sliding(np.concatenate([none, low, none]), width, np.maximum)
         # a window is selected if it is the least of some run that holds it; runs in one text only
-        at = np.flatnonzero((h[: len(high)] == high) & (high > 0))
+        at = np.flatnonzero((h == high) & (high > 0))
         owner = np.searchsorted(o, at, "right") - 1
         inside = o[owner + 1] - at >= k
         at, owner = at[inside], owner[inside]

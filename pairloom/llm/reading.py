@@ -26,6 +26,8 @@ LEVELS = 5
 RIDGE = 3.0
 #: Pseudo-observations of the mean level for each word's difficulty.
 SHRINK = 2.0
+#: Folds for words' difficulties while fitting.
+FOLDS = 10
 # Connectives from plain to formal.
 CONNECTIVES = [["그리고", "그래서", "그런데", "그러다가"], ["하지만", "또한", "이처럼", "그러나", "한편"], ["따라서", "이를테면", "요컨대", "그럼에도", "불구하고", "나아가", "아울러", "더불어"]]
 # Endings that join clauses, and particles that nest nouns.
@@ -131,12 +133,14 @@ def difficulty(w: Words, level: np.ndarray, has: np.ndarray) -> tuple[np.ndarray
 
 
 def difficulty_features(w: Words, table: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-    """Mean difficulty of a text's words, and the shares of easy, hard and hardest ones."""
+    """Mean difficulty of a text's words and its spread, and soft shares of easy, hard and hardest ones. Soft, since
+    a word's difficulty moves a little with the folds that it is taken from."""
     total, number, mean = table
     d = ((total + SHRINK * mean) / (number + SHRINK))[w.stem][w.index] if len(w.index) else np.zeros(0)
     n = np.maximum(np.bincount(w.owner, minlength=w.n), 1)
     per = lambda v: np.bincount(w.owner, v, w.n) / n
-    return np.stack([per(d), per(d < mean - 0.8), per(d > mean + 0.4), per(d > mean + 0.9), per(d > mean + 1.3)], 1)
+    soft = lambda at: per(1 / (1 + np.exp(-(d - mean - at) / 0.3)))
+    return np.stack([per(d), per(d * d), soft(-0.8), soft(0.4), soft(1.0)], 1)
 
 
 @dataclass
@@ -190,9 +194,9 @@ def trained(texts: list[str], doc: np.ndarray, level: np.ndarray, counts: np.nda
     w = Words.of(plain)
     mean = np.bincount(doc, level, len(texts)) / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
     base = features(plain, w, counts)
-    fold = np.arange(len(texts)) * 7919 % 5
+    fold = np.arange(len(texts)) * 7919 % FOLDS
     diff = np.zeros((len(texts), 5))
-    for f in range(5):
+    for f in range(FOLDS):
         diff[fold == f] = difficulty_features(w, difficulty(w, mean, fold != f))[fold == f]
     x = np.concatenate([base, diff], 1)
     center, scale = x.mean(0), x.std(0) + 1e-6

@@ -221,14 +221,19 @@ def verified(rows: DataFrame, span: int, window: int, most_classes: int = 64) ->
             for s, c in zip(begin[count > most_classes].tolist(), count[count > most_classes].tolist()):
                 flat = K.windows_hash(np.ascontiguousarray(m[s : s + c]).reshape(-1), span)
                 width = m.shape[1]
-                at = (np.arange(c)[:, None] * width + np.arange(reach + 1)[None, :]).reshape(-1)
+                shifts, heads = np.arange(reach + 1)[None, :], head[s : s + c]
+                start = (reach - before[heads])[:, None]
+                inside = ((shifts >= start) & (shifts + span <= start + length[s : s + c][:, None])).reshape(-1)
+                at = (np.arange(c)[:, None] * width + shifts).reshape(-1)[inside]
+                if not len(at):
+                    continue
                 h = flat[at]
                 order = np.argsort(h, kind="stable")
                 first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-                who = s + order // (reach + 1)
+                who = s + at[order] // width
                 met = np.minimum.reduceat(least[who], first) != np.maximum.reduceat(most[who], first)
                 hit = np.repeat(met, np.diff(np.r_[first, len(h)]))
-                x, shift = who[hit], order[hit] % (reach + 1)
+                x, shift = who[hit], at[order][hit] % width
                 np.maximum.at(left, x, reach - shift)
                 np.maximum.at(right, x, shift)
             use = (left + right + window >= span)[cls]

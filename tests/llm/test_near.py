@@ -25,7 +25,7 @@ def table(rng):
             if c == 3:
                 parts = t.split(". ")
                 s = ". ".join(parts[5:] + parts[:5]).upper().replace(" ", "  ")
-            rows.append((n, ["train", " Test", "DEV ", None][(n * 7 + c) % 4], s, "x", "y"))
+            rows.append((n, ["train", " Test", "DEV ", None][n % 4], s, "x", "y"))
             n += 1
     rows += [(n, "train", None, None, None), (n + 1, "test", "", None, None), (None, "test", rows[0][2], None, None), (n + 2, "dev", "짧은 글이다.", None, None), (n + 3, "train", "짧은 글이다.", None, None)]
     rows.append((n + 4, "train", text(rng, 400), "", ""))

@@ -89,7 +89,7 @@ def test_length_spikes(spark):
     assert [r.length for r in defects.length_spikes(spark.createDataFrame(rows, "n int"), "n").collect()] == [256]
 
 
-def graded(n=240):
+def graded(n=500):
     rng = random.Random(9)
     tiers = [[f"{a}{b}" for a in NOUNS for b in s] for s in ("집꽃새", "일책길", "법돈값", "성화율", "론성적")]
     docs, marks = [], []
