@@ -30,53 +30,61 @@ COPY = 0.65
 COPY_GRAM, COPY_LEAST, PROBES = 6, 40, 16
 
 
-def without_reasoning(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?is)<(think|thinking|reasoning|analysis)>.*?(</\1>|$)", " ")
+def _where(mark: str, text: Column, pattern: str, by: str) -> Column:
+    """A replacement that is only tried where its mark occurs."""
+    return F.when(F.contains(text, F.lit(mark)), F.regexp_replace(text, pattern, by)).otherwise(text)
 
 
-def content(text: Column) -> Column:
-    """The answer without reasoning blocks, code fences and label lines."""
-    t = F.regexp_replace(without_reasoning(text), r"(?m)^\s*```\w*\s*$", " ")
-    t = F.regexp_replace(t, r"(?m)^\s*#{1,6}\s*[^\n]{0,20}$", " ")
+def with_content(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a column of the answer without reasoning blocks, code fences, headings and label lines."""
+    t = F.col(name)
+    x = T.pinned(df, name, _where("<", F.col(text), r"(?is)<(think|thinking|reasoning|analysis)>.*?(</\1>|$)", " "))
+    x = T.pinned(x, name, _where("```", t, r"(?m)^\s*```\w*\s*$", " "))
+    x = T.pinned(x, name, _where("#", t, r"(?m)^\s*#{1,6}\s*[^\n]{0,20}$", " "))
     # a short line that ends in a colon announces a text, but isn't one
-    t = F.regexp_replace(t, r"(?m)^[^\n]{0,30}[:：]\s*$", " ")
-    return F.regexp_replace(t, r"(?U)^[\s​﻿]+|[\s​﻿]+$", "")
+    x = T.pinned(x, name, F.when(t.rlike(r"[:：]\s*(\n|$)"), F.regexp_replace(t, r"(?m)^[^\n]{0,30}[:：]\s*$", " ")).otherwise(t))
+    return T.pinned(x, name, F.regexp_replace(t, r"(?U)^[\s​﻿]+|[\s​﻿]+$", ""))
 
 
 def letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-def is_empty(text: Column) -> Column:
-    """Null, or nothing but blanks, placeholders, labels and reasoning."""
-    x = letters(content(text))
-    return text.isNull() | (x == "") | x.isin(PLACEHOLDERS)
+def is_empty(text: Column, folded: Column) -> Column:
+    """Null, or nothing but blanks, placeholders, labels and reasoning. folded: letters() of the content."""
+    return text.isNull() | (folded == "") | folded.isin(PLACEHOLDERS)
 
 
-def is_refusal(text: Column) -> Column:
-    """The answer, as left by content(), itself declines. What it quotes doesn't count, nor do others' refusals that it reports:
-    those are told in the past, of somebody else."""
-    t = F.regexp_replace(text, r"(?s)“.*?”|‘.*?’|(?<![\p{L}\p{N}])'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"", " ")
-    short = F.length(t) <= REFUSAL_LENGTH
+def is_refusal(content: Column) -> Column:
+    """The answer, as left by with_content(), itself declines. What it quotes doesn't count, nor do others'
+    refusals that it reports: those are told in the past, of somebody else."""
+    t = F.regexp_replace(content, r"(?s)“.*?”|‘.*?’|(?<![\p{L}\p{N}])'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"", " ")
     head = F.substring(t, 1, 160)
     ko = head.rlike(OPENING_KO) & t.rlike(DECLINE_KO)
     en = head.rlike(OPENING_EN) & t.rlike(DECLINE_EN)
     cjk = head.rlike(OPENING_CJK) & t.rlike(DECLINE_CJK) & ~t.rlike("[가-힣]")
-    return short & (ko | en | cjk)
+    return (F.length(content) <= REFUSAL_LENGTH + 100) & (F.length(t) <= REFUSAL_LENGTH) & (ko | en | cjk)
+
+
+def with_exemption(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with whether its answer is empty or a refusal, and so can't be cut."""
+    x = with_content(df, text, "_content")
+    x = T.pinned(x, "_x", letters(F.col("_content")))
+    return x.withColumn(name, is_empty(F.col(text), F.col("_x")) | is_refusal(F.col("_content"))).drop("_content", "_x")
 
 
 SCRIPTS = {"hangul": r"[가-힣ᄀ-ᇿ㄰-㆏]", "latin": r"[A-Za-zÀ-ɏ]", "kana": r"[぀-ヿ]", "han": r"[一-鿿㐀-䶿]", "cyrillic": r"[Ѐ-ӿ]", "arabic": r"[؀-ۿ]", "thai": r"[฀-๿]", "devanagari": r"[ऀ-ॿ]"}
 
 
-def language(text: Column) -> Column:
-    """The script that most letters are of, each weighed by how much a letter of it says. Han with a share of
-    kana is Japanese. Null where there are no letters."""
-    n = {k: F.regexp_count(text, F.lit(p)).cast("double") for k, p in SCRIPTS.items()}
-    # decomposed syllables take two or three code points, but are rare enough not to matter for a majority
+def language(folded: Column) -> Column:
+    """The language group that most of a folded text is in: a letter of Korean, Chinese or Japanese says about
+    as much as two of an alphabet. Han with a tenth of kana is Japanese. Null without letters."""
+    n = {k: F.regexp_count(folded, F.lit(p)).cast("double") for k, p in SCRIPTS.items()}
     cjk = n["han"] + n["kana"]
     weight = {"ko": n["hangul"] * 2, "latin": n["latin"] * 0.8, "ja": F.when(n["kana"] >= 0.1 * cjk, cjk * 2).otherwise(0.0), "zh": F.when(n["kana"] < 0.1 * cjk, cjk * 2).otherwise(0.0), "cyrillic": n["cyrillic"], "arabic": n["arabic"], "thai": n["thai"], "devanagari": n["devanagari"]}
     top = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(k).alias("k")) for k, w in weight.items()]))
-    return F.when(top["w"] > 0, top["k"])
+    # where half of the letters and more are Korean, nothing else can be the most
+    return F.when(folded == "", None).when(n["hangul"] * 2 >= F.length(folded), "ko").when(top["w"] > 0, top["k"])
 
 
 def copied_share(answer: Column, prompt: Column) -> Column:
@@ -157,11 +165,11 @@ def defective_answers(df: DataFrame, keys: list[str], answer: str = "answer", pr
     is empty. A null or blank prompt can be neither copied nor differ in language. Repeated rows each
     get their own. An empty table gives no rows. Columns besides keys, answer and prompt are ignored."""
     base = df.select(*keys, F.col(answer).alias("_answer"), F.col(prompt).alias("_prompt"))
-    x = base.withColumns({"_content": content(F.col("_answer")), "_y": letters(F.col("_prompt"))})
-    x = x.withColumns({"_x": letters(F.col("_content")), "_la": language(F.col("_content")), "_lp": language(F.col("_prompt")), "_length": F.length("_answer"), "_hash": F.xxhash64("_answer")})
-    empty = F.col("_answer").isNull() | (F.col("_x") == "") | F.col("_x").isin(PLACEHOLDERS)
-    rule = F.when(empty, "empty").when(is_refusal(F.col("_content")), "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y")), F.lit(False)), "copy")
-    x = x.withColumn("_rule", rule).select(*keys, "_answer", "_rule", "_length", "_hash")
+    x = with_content(base, "_answer", "_content")
+    x = T.pinned(T.pinned(x, "_x", letters(F.col("_content"))), "_y", letters(F.col("_prompt")))
+    x = T.pinned(T.pinned(x, "_la", language(F.col("_x"))), "_lp", language(F.col("_y")))
+    rule = F.when(is_empty(F.col("_answer"), F.col("_x")), "empty").when(is_refusal(F.col("_content")), "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y")), F.lit(False)), "copy")
+    x = T.pinned(x, "_rule", rule).select(*keys, "_answer", "_rule", F.length("_answer").alias("_length"), F.xxhash64("_answer").alias("_hash"))
     judged = written(T.judged(T.ends(x, "_answer"), written(T.counted(base.where("_answer is not null"), "_answer"), "contexts")).select(*keys, "_rule", "_length", "_hash", "cut", "doubtful"), "judged")
     short = shortened_versions(base, "_answer").withColumnRenamed("text_hash", "_hash").withColumn("_short", F.lit(True))
     spikes = length_spikes(judged, "_length").withColumnRenamed("length", "_length").withColumn("_spike", F.lit(True))

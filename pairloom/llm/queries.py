@@ -15,8 +15,8 @@ def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, row_id, source, round, cut) of both tables, judged together."""
     pairs = table(spark, sf_dir, "pairs").select(F.lit("pairs").alias("tbl"), F.col("pair_id").alias("row_id"), "source", F.lit(None).cast("int").alias("round"), F.col("human_text").alias("text"))
     outputs = table(spark, sf_dir, "gen_test").select(F.lit("gen_test").alias("tbl"), F.col("gen_id").alias("row_id"), "source", "round", "text")
-    no_text = (F.col("tbl") == "gen_test") & (defects.is_empty(F.col("text")) | defects.is_refusal(defects.content(F.col("text"))))
-    return truncation.truncated_rows(pairs.unionByName(outputs), ["tbl", "row_id", "source", "round"], "text", no_text)
+    rows = pairs.select("*", F.lit(False).alias("none")).unionByName(defects.with_exemption(outputs, "text", "none"))
+    return truncation.truncated_rows(rows, ["tbl", "row_id", "source", "round"], "text", F.col("none"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
