@@ -74,14 +74,23 @@ def longest_common(a: str | None, b: str | None, blanks: bool = False) -> int:
 
 
 def edit_distance(a: str, b: str) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+    """Levenshtein distance, a column of the table at once as the bits of two integers (Myers 1999)."""
+    if not a or not b:
+        return len(a) or len(b)
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for c in b:
+        eq = place.get(c, 0)
+        across = ((eq & up) + up ^ up) | eq
+        rise, fall = down | ~(across | up) & full, up & across
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        eq |= down
+        up, down = fall | ~(eq | rise) & full, rise & eq
+    return score
 
 
 def sentence_scores(a: str, b: str, autojunk: bool = False) -> tuple[int, int]:

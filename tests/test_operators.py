@@ -45,6 +45,17 @@ def test_longest_common(a, b):
     assert K.longest_common(a, b) == SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("가나다 ", max_size=12), st.text("가나다 ", max_size=12))
+def test_edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    assert K.edit_distance(a, b) == row[-1]
+
+
 def test_sentence_scores():
     assert K.sentence_scores("같은 문장", "같은 문장") == (1, 0)
     assert K.sentence_scores("문장", "긴 문장 하나") == (1, 0)
