@@ -553,3 +553,22 @@ def q_linear_probe(spark, d):
     pair = F.array(F.struct(F.lit(0.0).alias("y"), F.col("human_text").alias("text")), F.struct(F.lit(1.0).alias("y"), F.col("ai_text").alias("text")))
     rows = p.select("s", F.explode(pair).alias("x")).select("s", "x.y", "x.text").where("text <> ''")
     return text_probe(rows.where("s = 'train'"), rows.where("s in ('dev', 'test')"), "text", "y")
+
+
+@query()
+def q_telling_words(spark, d):
+    """M4: words that tell human from machine documents."""
+    from pairloom.operators.probes import telling_words
+
+    x = table(spark, d, "documents").where("origin is not null and text is not null").select("text", (F.col("origin") != "human").cast("double").alias("y"))
+    return telling_words(x, "text", "y")
+
+
+@query()
+def q_out_of_fold(spark, d):
+    """Each document scored by a probe fitted without its fold."""
+    from pairloom.operators.probes import out_of_fold
+
+    x = table(spark, d, "documents").where("origin is not null and text is not null").select("doc_id", "text", (F.col("origin") != "human").cast("double").alias("y"))
+    scored = out_of_fold(S.folds(x, "doc_id", 3), "text", "y", "fold", 3, 1 << 14)
+    return scored.select("doc_id", "fold", "y", "p")
