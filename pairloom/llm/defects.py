@@ -27,7 +27,7 @@ OPENING_CJK = r"(申し訳|すみません|私は|抱歉|对不起|很遗憾|作
 REFUSAL_LENGTH = 400
 #: Share of the answer's runs of six letters that occur in the prompt, from which it is a copy.
 COPY = 0.65
-COPY_GRAM, COPY_LEAST, PROBES = 6, 40, 16
+COPY_GRAM, COPY_LEAST, PROBES = 6, 40, 21
 
 
 def _where(mark: str, text: Column, pattern: str, by: str) -> Column:
@@ -96,13 +96,14 @@ def copied_share(answer: Column, prompt: Column) -> Column:
 def copies(answer: Column, prompt: Column) -> Column:
     """True for a folded answer that repeats its folded prompt, whole or its opening sentences.
 
-    The share is taken only where at least one of PROBES pieces, spread evenly over the answer, stands in
-    the prompt. Of a copy, most do."""
+    The share is taken where a third of PROBES pieces, spread evenly over the answer, stand in the prompt. A
+    rewrite keeps names and figures, a sixth of its pieces; of an answer at the share's bound, two thirds
+    stand there."""
     n = F.length(answer)
-    met = F.lit(False)
+    met = F.lit(0)
     for part in range(PROBES):
-        met = met | F.contains(prompt, F.substring(answer, (n * part / PROBES).cast("int") + 1, F.lit(COPY_GRAM)))
-    return F.when((n >= COPY_LEAST) & met, copied_share(answer, prompt) >= COPY).otherwise(False)
+        met = met + F.contains(prompt, F.substring(answer, (n * part / PROBES).cast("int") + 1, F.lit(COPY_GRAM))).cast("int")
+    return F.when((n >= COPY_LEAST) & (met * 3 >= PROBES), copied_share(answer, prompt) >= COPY).otherwise(False)
 
 
 def shortened_versions(df: DataFrame, text_col: str) -> DataFrame:
