@@ -79,7 +79,8 @@ SCRIPTS = {"hangul": r"[가-힣ᄀ-ᇿ㄰-㆏]", "latin": r"[A-Za-zÀ-ɏ]", "kan
 def language(folded: Column) -> Column:
     """The language group that most of a folded text is in: a letter of Korean, Chinese or Japanese says about
     as much as two of an alphabet. Han with a tenth of kana is Japanese. Null without letters."""
-    n = {k: F.regexp_count(folded, F.lit(p)).cast("double") for k, p in SCRIPTS.items()}
+    # what a replacement of whole runs takes away is counted: few matches instead of one for each letter
+    n = {k: (F.length(folded) - F.length(F.regexp_replace(folded, p + "+", ""))).cast("double") for k, p in SCRIPTS.items()}
     cjk = n["han"] + n["kana"]
     weight = {"ko": n["hangul"] * 2, "latin": n["latin"] * 0.8, "ja": F.when(n["kana"] >= 0.1 * cjk, cjk * 2).otherwise(0.0), "zh": F.when(n["kana"] < 0.1 * cjk, cjk * 2).otherwise(0.0), "cyrillic": n["cyrillic"], "arabic": n["arabic"], "thai": n["thai"], "devanagari": n["devanagari"]}
     top = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(k).alias("k")) for k, w in weight.items()]))
