@@ -73,6 +73,22 @@ def test_near_duplicates(spark, rng):
     assert len(set(groups.values())) == len(groups) - len({max(p) for p in expected})
 
 
+def scattered(rng, t, share=0.24):
+    """One word in four replaced or misspelt, evenly."""
+    words = t.split()
+    for i in [int(k / share) for k in range(int(share * len(words)))]:
+        words[i] = rng.choice(["구름", "달빛이", "모래를"]) + str(rng.randrange(100)) if i % 2 else words[i] + "뷁"
+    return " ".join(words)
+
+
+def test_quarter_of_words_edited(spark, rng):
+    base = [text(rng, 20) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, scattered(rng, t)) for i, t in enumerate(base)]
+    far = [(200 + i, scattered(rng, scattered(rng, t), 0.9)) for i, t in enumerate(base)]
+    got = signature_tree.near_duplicate_pairs(spark.createDataFrame(rows + far, "id long, t string"), "id", ["t"]).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == [(i, 100 + i) for i in range(12)]
+
+
 def test_fields_do_not_meet(spark, rng):
     t = text(rng)
     df = spark.createDataFrame([(1, t, None), (2, None, t)], "id long, a string, b string")
