@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pairloom.llm import chunks as C
 from pairloom.llm.store import written
 
-#: Least share of the longer text that shared chunks make up.
-THETA = 0.3
+#: Chunk overlap that makes a pair without a look at the words; below it, from chunks.LOOSE on, words are compared.
+THETA = 0.4
 LEAST_WORDS = 30
 
 
@@ -54,7 +54,8 @@ def cross_split_pairs(df: DataFrame, id_col: str, text_col: str, side: str, thet
     whatever their names, don't matter. An empty table gives no pairs."""
     texts = C.long_form(df, id_col, [text_col], side)
     rows, _ = C.ranked(texts, least_words, mean)
-    near = shared_fraction(C.prefixes(rows, theta), theta)
+    loose = min(C.LOOSE, theta)
+    near = C.confirmed(shared_fraction(C.prefixes(rows, loose), loose), "fraction", texts, least_words, theta)
     who = written(C.members(texts, least_words), "members")
     m0 = who.where("side = 0").select(F.col("id").alias("id_0"), F.col("text_hash").alias("doc_a"))
     m1 = who.where("side = 1").select(F.col("id").alias("id_1"), F.col("text_hash").alias("doc_b"))

@@ -89,6 +89,13 @@ def test_quarter_of_words_edited(spark, rng):
     assert sorted((r.id_a, r.id_b) for r in got) == [(i, 100 + i) for i in range(12)]
 
 
+def test_quarter_of_words_edited_across_splits(spark, rng):
+    base = [text(rng, 20) for _ in range(12)]
+    rows = [(i, "train", t) for i, t in enumerate(base)] + [(100 + i, "test", scattered(rng, t)) for i, t in enumerate(base)]
+    got = overlap.cross_split_pairs(spark.createDataFrame(rows, "id long, split string, t string"), "id", "t", overlap.split_side()).collect()
+    assert sorted((r.id_0, r.id_1) for r in got) == [(i, 100 + i) for i in range(12)]
+
+
 def test_fields_do_not_meet(spark, rng):
     t = text(rng)
     df = spark.createDataFrame([(1, t, None), (2, None, t)], "id long, a string, b string")
