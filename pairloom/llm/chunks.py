@@ -1,45 +1,54 @@
 """Content-defined chunks as tokens: postings, a global rarity order, and exact prefix filtering.
 
 A text is folded (spacing, punctuation, case and Unicode form ignored) and cut where a rolling hash
-says so, hence an edit changes only the chunks around it. Two texts overlap by `theta` when the
-chunks they share make up at least theta of the longer text. A small overlap makes a pair a candidate,
-whose words are then compared (`confirmed`). Order the chunks of every text from
-rare to frequent: such a pair must then share a chunk within the first (1 - theta) of each text, its
-`prefix`. Only prefixes are joined. This holds for any common order, so no pair is lost.
+says so, hence an edit changes only the chunks around it. Two texts overlap by `loose` when the chunks they
+share are at least that part of the longer one's. Such a pair is a candidate, and its words are then
+compared (`confirmed`). Order the chunks of every text from rare to frequent: a candidate pair must then
+share a chunk within the first (1 - loose) of each text, its `prefix`. Only prefixes are joined. This
+holds for any common order, so no pair is lost.
+
+A prefix row has a fixed size, whatever the length of its text: a chunk, the text's hash and sizes, and a
+bitmap of its shared chunks that bounds its overlap with any other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm import kernels as K
 from pairloom.llm.store import written
 
-#: Mean chunk length in letters and digits: short enough that chunks survive between edits of every fourth word.
-MEAN = 7
-#: Least chunk overlap at which two texts are compared word by word. Texts with a quarter of their words edited at
-#: random places overlap by 0.28 in the middle case.
-LOOSE = 0.12
+#: Mean chunk length in letters and digits: short enough that chunks survive between edits of every fourth word, long
+#: enough that most are no set phrases.
+MEAN = 11
+#: Least share of common chunks at which two texts are compared word by word. Texts with a quarter of their words
+#: edited at random places share 0.36 in the middle case and 0.20 or less in 2.5 of 100 (with 15 % edited, in 0.05 of
+#: 100); 99.9 % of unrelated pairs share less than 0.13.
+LOOSE = 0.2
 #: Least share of the words, or else of the letter trigrams, which don't depend on spacing, that near-same texts have in
 #: common: a quarter of edited words spoils 1 - 0.75 ** 1.6 of the trigrams.
 WORDS, TRIGRAMS = 0.75, 0.58
 #: Up to so many text hashes (8 bytes each) are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: What one chunk weighs at most, so that a weight takes a byte and a looping text isn't all one chunk.
-HEAVIEST = 255
 #: Planning sample: it only decides which chunks skip the frequency shuffle, never which pairs are found.
 SAMPLE_TEXTS, HOT_IN_SAMPLE = 4000, 10
 HOT = np.iinfo(np.int32).max
+#: Bits of a text's signature, many for its 40 chunks or so, since a bound on what two texts share allows for collisions.
+BITS = 4096
+#: 64-bit words of a folded signature, which is looked at first.
+THIN = 8
+#: Rows of a chunk that one task compares; a chunk of more is split.
+PART = 2048
 MEMBERS = "field string, side int, id bigint, text_hash bigint"
-#: what: the text's total length, its side (one bit) and the chunk's length (16 bits), in one number, since a shuffled row takes eight bytes for each column.
+#: what: 2 * the chunk's length + the text's side. A text's own row has a negative what, -1 - (2 * number of chunks +
+#: side), and its letters and words (32 bits each) as digest.
 POSTINGS = "digest bigint, doc bigint, what bigint"
-PREFIX = "digest bigint, df int, doc bigint, side int, total int, tokens int, digests binary, lens binary"
+PREFIX = "digest bigint, df int, doc bigint, side int, n int, shared int, letters int, words int, bits array<smallint>"
 
 
 def field_salt(field: str) -> np.int64:
@@ -47,6 +56,11 @@ def field_salt(field: str) -> np.int64:
     return K.text_hash(*K.pack([field]))[0]
 
 
+def _salts(fields: list[str]) -> np.ndarray:
+    salt = {f: field_salt(f) for f in set(fields)}
+    return np.array([salt[f] for f in fields], np.int64).reshape(-1)
+
+
 def long_form(df: DataFrame, id_col: str, fields: list[str], side: str = "0") -> DataFrame:
     """(field, side, id, text), one row for each text."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields])
@@ -64,49 +78,44 @@ def members(texts: DataFrame, least_words: int) -> DataFrame:
         for b in batches:
             raw = b["text"].to_pylist()
             keep = in_scope(raw, least_words)
-            salt = {f: field_salt(f) for f in set(b["field"].to_pylist())}
-            h = K.text_hash(*K.folded(raw)) ^ np.array([salt[f] for f in b["field"].to_pylist()], np.int64).reshape(-1)
+            h = K.text_hash(*K.folded(raw)) ^ _salts(b["field"].to_pylist())
             mask = pa.array(keep)
             yield pa.record_batch([b["field"].filter(mask), b["side"].filter(mask), b["id"].filter(mask), pa.array(h[keep])], names=["field", "side", "id", "text_hash"])
 
     return texts.mapInArrow(run, MEMBERS)
 
 
-def _chunked(raw: list[str], fields: list[str], mean: int):
-    """Hash, total weight, and the distinct chunks (text, digest, weight) of each text of a batch. A chunk weighs
-    its length, one that recurs all its lengths, but no more than HEAVIEST."""
-    salt = {f: field_salt(f) for f in set(fields)}
-    salts = np.array([salt[f] for f in fields], np.int64).reshape(-1)
-    codes, offsets = K.folded(raw)
+def chunked(raw: list[str], fields: list[str], mean: int):
+    """(hash, letters, words) of each text of a batch, and (text, digest, length) of its chunks. Chunks that recur in
+    a text are numbered, so each is a token of its own."""
+    salts = _salts(fields)
+    codes, offsets, begins = K.folded_words(raw)
     h = K.text_hash(codes, offsets) ^ salts
+    words = np.bincount(K.owners(offsets, begins), minlength=len(raw)) if len(begins) else np.zeros(len(raw), np.int64)
     text, digest, length = K.content_chunks(codes, offsets, mean)
-    digest = digest ^ salts[text]
-    if len(text):
-        order = np.lexsort((digest, text))
-        text, digest, length = text[order], digest[order], length[order]
-        first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (digest[1:] != digest[:-1])])
-        text, digest, length = text[first], digest[first], np.minimum(np.add.reduceat(length, first), HEAVIEST)
-    return h, np.bincount(text, length, len(raw)).astype(np.int64), text, digest, length
+    return h, np.diff(offsets), words, text, K.numbered(text, digest) ^ salts[text], length
 
 
 def postings(texts: DataFrame, least_words: int, mean: int) -> DataFrame:
-    """A row for each distinct chunk of each distinct text. Copies of a text are dropped within a task
-    already, so a text adds at most one set of rows for each task, however often it occurs."""
+    """A row for each chunk of each distinct text, and one for the text itself. Copies of a text are dropped within
+    a task already, so a text adds at most one set of rows for each task, however often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             keep = pa.array(in_scope(b["text"].to_pylist(), least_words))
             raw, fields, side = (b[c].filter(keep).to_pylist() for c in ("text", "field", "side"))
-            h, total, text, digest, length = _chunked(raw, fields, mean)
+            h, letters, words, text, digest, length = chunked(raw, fields, mean)
             new = np.zeros(len(raw), bool)
             for i, key in enumerate(zip(h.tolist(), side)):
                 if key not in seen:
                     seen.add(key)
                     new[i] = True
+            n, side = np.bincount(text, minlength=len(raw)), np.array(side, np.int64).reshape(-1)
             use = new[text] if len(text) else np.zeros(0, bool)
             text, digest, length = text[use], digest[use], length[use]
-            yield pa.record_batch([pa.array(digest), pa.array(h[text]), pa.array(total[text] << 17 | np.array(side, np.int64)[text] << 16 | length)], names=["digest", "doc", "what"])
+            own = np.flatnonzero(new & (n > 0))
+            yield pa.record_batch([pa.array(np.r_[digest, letters[own] << 32 | words[own]]), pa.array(np.r_[h[text], h[own]]), pa.array(np.r_[length << 1 | side[text], -1 - (n[own] << 1 | side[own])])], names=["digest", "doc", "what"])
 
     return texts.mapInArrow(run, POSTINGS)
 
@@ -116,12 +125,13 @@ def frequent_chunks(texts: DataFrame, least_words: int, mean: int) -> tuple[list
     projected number of texts. The list is bounded by the sample, whatever the input."""
     n = texts.count()
     share = min(1.0, SAMPLE_TEXTS / max(n, 1))
-    found = postings(texts.sample(False, share, 7) if share < 1 else texts, least_words, mean).groupBy("digest").count().where(F.col("count") >= HOT_IN_SAMPLE).collect()
+    found = postings(texts.sample(False, share, 7) if share < 1 else texts, least_words, mean).where("what >= 0").groupBy("digest").count().where(F.col("count") >= HOT_IN_SAMPLE).collect()
     return [r["digest"] for r in found], [int(r["count"] / share) for r in found]
 
 
-def ranked(texts: DataFrame, least_words: int, mean: int) -> tuple[DataFrame, dict[int, int]]:
-    """Postings with the number of texts that hold the chunk (df), without those of a single text.
+def ranked(texts: DataFrame, least_words: int, mean: int, across: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """Postings with the number of texts that hold the chunk (df), without those of a single text, or, across, of a
+    single side. Texts' own rows stay.
 
     Frequent chunks get the highest df without a shuffle on their key; among the rest, no key has
     more than about HOT_IN_SAMPLE / SAMPLE_TEXTS of all texts, so counting in a window is even."""
@@ -130,11 +140,16 @@ def ranked(texts: DataFrame, least_words: int, mean: int) -> tuple[DataFrame, di
     rows = postings(texts, least_words, mean)
     hot_df = F.broadcast(spark.createDataFrame([(x,) for x in hot], "digest bigint"))
     tagged = rows.join(hot_df.withColumn("hot", F.lit(True)), "digest", "left")
-    # a hot chunk's rows are spread by text, the others meet by chunk
-    key = F.when(F.col("hot"), F.col("doc")).otherwise(F.col("digest"))
-    counted = tagged.withColumn("key", key).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key")).cast("int"))
-    df = F.when(F.col("hot"), F.lit(int(HOT))).otherwise(F.col("df"))
-    return counted.select("digest", "doc", "what", df.alias("df")).where("df > 1"), dict(zip(hot, projected))
+    own = F.col("what") < 0
+    # the rows of a hot chunk, and texts' own, are spread by text, the others meet by chunk
+    key = F.when(F.col("hot") | own, F.col("doc")).otherwise(F.col("digest"))
+    meet = Window.partitionBy("key")
+    counted = tagged.withColumn("key", key).withColumn("df", F.count(F.lit(1)).over(meet).cast("int"))
+    if across:
+        side = F.col("what").bitwiseAND(F.lit(1))
+        counted = counted.withColumn("both", F.min(side).over(meet) < F.max(side).over(meet))
+    kept = counted.where(own | F.col("hot") | (F.col("both") if across else F.col("df") > 1))
+    return kept.select("digest", "doc", "what", F.when(F.col("hot"), F.lit(int(HOT))).otherwise(F.col("df")).alias("df")), dict(zip(hot, projected))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], least: int = 200_000) -> Iterator[pa.Table]:
@@ -162,47 +177,99 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], least: int =
         yield pa.Table.from_batches(held)
 
 
-def prefixes(rows: DataFrame, theta: float) -> DataFrame:
-    """A row for each chunk in the prefix of each text, with all of the text's shared chunks, rare
-    ones first."""
+def signatures(text: np.ndarray, digest: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, place): a bitmap of BITS bits of the digests of each of n texts, as the places of its bits, so at most
+    BITS of them."""
+    bit = (K.mix(digest.view(np.uint64)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    both = np.unique(text * BITS + bit)
+    return np.searchsorted(both, np.arange(n + 1) * BITS), (both % BITS).astype(np.int16)
+
+
+def bitmaps(begin: np.ndarray, place: np.ndarray, fold: int = 1) -> np.ndarray:
+    """Signatures as rows of 64-bit words, folded to BITS / fold bits."""
+    out = np.zeros((len(begin) - 1, BITS // fold // 8), np.uint8)
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    place = place.astype(np.int64) % (BITS // fold)
+    np.bitwise_or.at(out, (row, place >> 3), (1 << (place & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
+    """A row for each shared chunk in the prefix of each text; with longs, also the folded signature as THIN numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["doc"]):
             doc, what, digest, df = (t[c].to_numpy() for c in ("doc", "what", "digest", "df"))
-            side, length, total = (what >> 16 & 1).astype(np.int32), (what & 65535).astype(np.int32), (what >> 17).astype(np.int32)
+            own = what < 0
+            side = np.where(own, -1 - what, what) & 1
             start = np.r_[True, (doc[1:] != doc[:-1]) | (side[1:] != side[:-1])]
-            keep = start | np.r_[True, digest[1:] != digest[:-1]]  # the same text from two tasks
-            doc, side, digest, df, length, total = (x[keep] for x in (doc, side, digest, df, length, total))
-            begin = np.flatnonzero(start[keep])
-            size = np.diff(np.r_[begin, len(doc)])
-            add = np.cumsum(length.astype(np.int64))
-            upto = add - np.repeat(add[begin] - length[begin], size)
-            shared = np.add.reduceat(length.astype(np.int64), begin)
-            before = np.repeat(total[begin] - shared, size) + upto - length
-            use = np.flatnonzero(total - before >= theta * total)
-            group = np.repeat(np.arange(len(begin)), size)[use]
-            d32, l8 = (digest & 0x7FFFFFFF).astype(np.int32), length.astype(np.uint8)
-            db, lb = d32.tobytes(), l8.tobytes()
-            ds = [db[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), size.tolist())]
-            ls = [lb[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
-            for a in range(0, len(use), 20_000):
-                u, g = use[a : a + 20_000], group[a : a + 20_000]
-                yield pa.record_batch([pa.array(digest[u]), pa.array(df[u]), pa.array(doc[u]), pa.array(side[u]), pa.array(total[u]), pa.array(size[g].astype(np.int32)), pa.array([ds[i] for i in g], pa.binary()), pa.array([ls[i] for i in g], pa.binary())], names=["digest", "df", "doc", "side", "total", "tokens", "digests", "lens"])
-
-    sorted_rows = rows.repartition("doc").sortWithinPartitions("doc", (F.shiftright("what", 16)).bitwiseAND(F.lit(1)), "df", "digest")
-    return sorted_rows.mapInArrow(run, PREFIX)
-
-
-def near_same(a: str, b: str) -> bool:
-    """Whether all but a quarter of the words are common to both texts, wherever they stand."""
-    codes, offsets = K.folded([*a.split(), *b.split()])
-    n, flat = len(a.split()), codes.tobytes()
-    found = [flat[4 * x : 4 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    x, y = ([w for w in part if w] for part in (found[:n], found[n:]))
-    if (Counter(x) & Counter(y)).total() >= WORDS * max(len(x), len(y)):
-        return True
-    x, y = (K.windows_hash(c, 3).tolist() for c in (codes[: offsets[n]], codes[offsets[n] :]))
-    return (Counter(x) & Counter(y)).total() >= TRIGRAMS * max(len(x), len(y), 1)
+            text = np.cumsum(start) - 1
+            at = np.flatnonzero(start)  # a text's own row comes first
+            n, letters, words = (-1 - what[at]) >> 1, digest[at] >> 32, digest[at] & 0xFFFFFFFF
+            use = ~own & np.r_[True, (digest[1:] != digest[:-1]) | start[1:]]  # the same text from two tasks
+            text, digest, df = text[use], digest[use], df[use]
+            size = np.bincount(text, minlength=len(at))
+            order = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size) + (n - size)[text]
+            take = np.flatnonzero(order <= (n - np.ceil(loose * n))[text])
+            begin, place = signatures(text, digest, len(at))
+            places = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(place))
+            thin = [bitmaps(begin, place, BITS // 64 // THIN).view(np.int64)] if longs else []
+            for a in range(0, len(take), 50_000):
+                u = take[a : a + 50_000]
+                x = text[u]
+                cols = [pa.array(digest[u]), pa.array(df[u]), pa.array(doc[at[x]]), *(pa.array(v[x].astype(np.int32)) for v in (side[at], n, size, letters, words)), places.take(pa.array(x))]
+                cols += [pa.array(w[x, i]) for w in thin for i in range(THIN)]
+                yield pa.record_batch(cols, names=[c.split()[0] for c in schema.split(", ")])
+
+    schema = PREFIX + "".join(f", w{i} bigint" for i in range(THIN)) * longs
+    what = F.col("what")
+    side = F.when(what < 0, -1 - what).otherwise(what).bitwiseAND(F.lit(1))
+    return rows.repartition("doc").sortWithinPartitions("doc", side, what >= 0, "df", "digest").mapInArrow(run, schema)
+
+
+def parts(prefix: DataFrame, projected: dict[int, int], size: int) -> tuple[DataFrame, Column]:
+    """prefix + (projected), and in how many parts of about `size` rows each row's chunk is to be split."""
+    spark: SparkSession = prefix.sparkSession
+    many = [(d, n) for d, n in projected.items() if n > size]
+    table = F.broadcast(spark.createDataFrame(many, "digest bigint, projected int"))
+    n = F.when(F.col("df") == int(HOT), F.coalesce("projected", F.lit(0))).otherwise(F.col("df"))
+    return prefix.join(table, "digest", "left"), F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+
+
+def met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, the rows of a key that left has more than PART of split over tasks."""
+    many = left.groupBy(key).count().where(F.col("count") > PART).select(key, F.ceil(F.col("count") / PART).cast("int").alias("_parts"))
+    n = F.coalesce("_parts", F.lit(1))
+    a = left.join(many, key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("_parts")
+    b = right.join(many, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return a.join(b, [key, "_part"]).drop("_part")
+
+
+def near_same(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair whether all but a quarter of the words are common to both texts, wherever they stand."""
+    texts = list(dict.fromkeys([*a, *b]))
+    place = {t: i for i, t in enumerate(texts)}
+    x, y = (np.array([place[t] for t in side], np.int64).reshape(-1) for side in (a, b))
+    codes, offsets, begins = K.folded_words(texts)
+    out = np.zeros(len(x), bool)
+    if not len(codes):
+        return out
+    owner = K.owners(offsets, begins)
+    word = K.numbered(owner, K.text_hash(codes, np.r_[begins, len(codes)]))
+    n = np.bincount(owner, minlength=len(texts))
+    out = K.common(owner, word, len(texts), x, y) >= np.maximum(WORDS * np.maximum(n[x], n[y]), 1)
+    rest = np.flatnonzero(~out & (np.minimum(*(np.diff(offsets)[i] for i in (x, y))) > 2))
+    if len(rest):
+        at = np.arange(max(len(codes) - 2, 0))
+        owner = K.owners(offsets, at)
+        inside = at + 2 < offsets[owner + 1]
+        some = np.zeros(len(texts), bool)
+        some[x[rest]] = some[y[rest]] = True
+        inside &= some[owner]
+        owner, three = owner[inside], K.windows_hash(codes, 3).view(np.int64)[inside]
+        n = np.diff(offsets) - 2
+        out[rest] = K.common(owner, K.numbered(owner, three), len(texts), x[rest], y[rest]) >= TRIGRAMS * np.maximum(n[x[rest]], n[y[rest]])
+    return out
 
 
 def bodies(texts: DataFrame, least_words: int, docs: DataFrame) -> DataFrame:
@@ -211,9 +278,8 @@ def bodies(texts: DataFrame, least_words: int, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = pa.array(in_scope(b["text"].to_pylist(), least_words))
-            raw, fields = b["text"].filter(keep), b["field"].filter(keep).to_pylist()
-            salt = {f: field_salt(f) for f in set(fields)}
-            h = K.text_hash(*K.folded(raw.to_pylist())) ^ np.array([salt[f] for f in fields], np.int64).reshape(-1)
+            raw = b["text"].filter(keep)
+            h = K.text_hash(*K.folded(raw.to_pylist())) ^ _salts(b["field"].filter(keep).to_pylist())
             yield pa.record_batch([pa.array(h), raw], names=["text_hash", "text"])
 
     wanted = docs.withColumnRenamed("doc", "text_hash")
@@ -222,18 +288,19 @@ def bodies(texts: DataFrame, least_words: int, docs: DataFrame) -> DataFrame:
     return written(found.groupBy("text_hash").agg(F.min("text").alias("text")), "bodies")
 
 
-def confirmed(candidates: DataFrame, value: str, texts: DataFrame, least_words: int, theta: float) -> DataFrame:
-    """Candidates (doc_a, doc_b, value) whose chunk overlap reaches theta, or whose words do (near_same)."""
-    met = written(candidates.select("doc_a", "doc_b", value), "met")
-    doubtful = met.where(F.col(value) < theta)
-    docs = written(doubtful.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct(), "doubtful")
+def confirmed(candidates: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
+    """Candidates (doc_a, doc_b) whose words are nearly the same, written."""
+    found = written(candidates, "candidates")
+    docs = written(found.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct(), "docs")
     text = bodies(texts, least_words, docs)
     a, b = (text.select(F.col("text_hash").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = pa.array([near_same(s, t) for s, t in zip(x["text_a"].to_pylist(), x["text_b"].to_pylist())], pa.bool_())
-            yield pa.record_batch([x[c].filter(keep) for c in ("doc_a", "doc_b", value)], names=["doc_a", "doc_b", value])
+            for at in range(0, x.num_rows, 2_000):
+                y = x.slice(at, 2_000)
+                keep = pa.array(near_same(y["text_a"].to_pylist(), y["text_b"].to_pylist()))
+                yield pa.record_batch([y["doc_a"].filter(keep), y["doc_b"].filter(keep)], names=["doc_a", "doc_b"])
 
-    exact = doubtful.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", value, "text_a", "text_b").mapInArrow(run, f"doc_a bigint, doc_b bigint, {value} double")
-    return met.where(F.col(value) >= theta).unionByName(exact)
+    both = found.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "text_a", "text_b")
+    return written(both.mapInArrow(run, "doc_a bigint, doc_b bigint"), "links")

@@ -53,14 +53,77 @@ def _folding() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _spaces() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[c for c in range(0x3001) if chr(c).isspace()]] = True
+    return table
+
+
 def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Texts without regard to spacing, punctuation, letter case and Unicode form (NFKC)."""
-    codes, offsets = pack(compose(texts, "NFKC"))
-    codes = _folding()[codes]
+    codes, offsets, _ = folded_words(texts)
+    return codes, offsets
+
+
+def folded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, offsets, begins) of folded texts; begins are the places in codes where a word starts, a word being
+    what stands between blanks and has a letter or digit."""
+    raw, offsets = pack(compose(texts, "NFKC"))
+    codes = _folding()[raw]
     keep = codes != 0
     kept = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
-    return codes[keep], kept[offsets]
+    new = _spaces()[raw]
+    new[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    word = np.cumsum(new)[keep]
+    begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    return codes[keep], kept[offsets], begins
+
+
+def owners(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which text each place belongs to."""
+    return np.searchsorted(offsets, at, "right") - 1
+
+
+def numbered(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values of which equal ones of one owner are told apart by their number: the k-th is the same for all owners,
+    so common values of two owners count as often as both have them. The first keeps its value."""
+    if not len(owner):
+        return value
+    order = np.lexsort((value, owner))
+    o, v = owner[order], value[order]
+    first = np.r_[True, (o[1:] != o[:-1]) | (v[1:] != v[:-1])]
+    at = np.flatnonzero(first)
+    k = np.arange(len(o)) - np.repeat(at, np.diff(np.r_[at, len(o)]))
+    out = value.copy()
+    again = k > 0
+    out[order[again]] = mix(v[again].view(U) + mix(k[again].astype(U))).view(value.dtype)
+    return out
+
+
+def common(owner: np.ndarray, value: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, block: int = 2_000_000) -> np.ndarray:
+    """For each pair of owners a[i], b[i] how many numbered values they have in common."""
+    _, value = np.unique(value, return_inverse=True)
+    width = int(value.max()) + 1 if len(value) else 1
+    packed = np.sort(owner.astype(np.int64) * width + value)
+    begin = np.searchsorted(packed, np.arange(n + 1, dtype=np.int64) * width)
+    size = np.diff(begin)
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    out = np.zeros(len(a), np.int64)
+    ends = np.cumsum(size[a])
+    s = 0
+    while s < len(a):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + block, "right")))
+        x, y = a[s:e], b[s:e]
+        start = np.r_[0, np.cumsum(size[x])]
+        pair = np.repeat(np.arange(len(x)), size[x])
+        at = np.arange(start[-1]) - np.repeat(start[:-1], size[x]) + np.repeat(begin[x], size[x])
+        wanted = packed[at] % width + y[pair].astype(np.int64) * width
+        hit = packed[np.minimum(np.searchsorted(packed, wanted), len(packed) - 1)] == wanted if len(wanted) else np.zeros(0, bool)
+        out[s:e] = np.bincount(pair[hit], minlength=len(x))
+        s = e
+    return out
 
 
 def blocks(offsets: np.ndarray, most: int = BLOCK):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import defects, mixing, overlap, packing, reading, signature_tree, spans, truncation
-from pairloom.llm.store import table, written
+from pairloom.llm.store import table
 
 
 def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping rows and pairs of each evaluation split and source."""
     df = table(spark, sf_dir, "pairs")
-    found = written(overlap.cross_split_pairs(df, "pair_id", "human_text", overlap.split_side()), "overlaps")
+    found = overlap.record_overlaps(*overlap.cross_split_texts(df, "pair_id", "human_text", overlap.split_side()))
     return overlap.split_report(df, found, "pair_id", "source")
 
 

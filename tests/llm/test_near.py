@@ -32,43 +32,44 @@ def table(rng):
     return rows
 
 
-def weight(t):
-    _, total, _, digest, w = C._chunked([t], ["t"], C.MEAN)
-    return dict(zip(digest.tolist(), w.tolist())), int(total[0])
+def near(s, t):
+    """The definition: common chunks, then common words or trigrams."""
+    one, two = (C.chunked([x], ["t"], C.MEAN)[4].tolist() for x in (s, t))
+    return len(set(one) & set(two)) >= C.LOOSE * max(len(one), len(two)) and bool(C.near_same([s], [t])[0])
 
 
-def brute(rows, theta):
-    """All pairs of rows by the overlap's definition."""
+def brute(rows):
+    """All pairs of rows by the definition."""
     kept = [(i, s, t) for i, s, t, *_ in rows if i is not None and t and len(t.split()) >= 30]
-    parts = {i: weight(t) for i, _, t in kept}
-    out = {}
-    for (i, s, _), (j, r, _) in itertools.combinations(kept, 2):
-        (a, n), (b, m) = parts[i], parts[j]
-        v = sum(min(a[x], b[x]) for x in a.keys() & b.keys()) / max(n, m)
-        if v >= theta:
-            out[min(i, j), max(i, j)] = (s, r)
-    return out
+    return {(min(i, j), max(i, j)): (s, r) for (i, s, t), (j, r, u) in itertools.combinations(kept, 2) if near(t, u)}
 
 
 def test_pairs_across_splits(spark, rng):
     rows = table(rng)
     side = lambda s: {"train": 0, "dev": 1, "test": 1}.get((s or "").strip().lower())
-    expected = {p for p, (a, b) in brute(rows, overlap.THETA).items() if {side(a), side(b)} == {0, 1}}
+    expected = {p for p, (a, b) in brute(rows).items() if {side(a), side(b)} == {0, 1}}
     df = spark.createDataFrame(rows, SCHEMA)
     got = overlap.cross_split_pairs(df, "id", "t", overlap.split_side()).collect()
     assert len(expected) > 3
     assert {(min(r.id_0, r.id_1), max(r.id_0, r.id_1)) for r in got} == expected and len(got) == len(expected)
-    report = overlap.split_report(df.withColumnRenamed("doc", "source"), overlap.cross_split_pairs(df, "id", "t", overlap.split_side()), "id", "source").collect()
+    by = {r.id_1: (r.n_pairs, r.fraction) for r in overlap.record_overlaps(*overlap.cross_split_texts(df, "id", "t", overlap.split_side())).collect()}
+    for i, (n, fraction) in by.items():
+        mine = [r.fraction_1 for r in got if r.id_1 == i]
+        assert n == len(mine) and fraction == max(mine)
+    assert set(by) == {r.id_1 for r in got} and all(0 < r.fraction_0 <= 1 for r in got)
+    report = overlap.split_report(df.withColumnRenamed("doc", "source"), overlap.record_overlaps(*overlap.cross_split_texts(df, "id", "t", overlap.split_side())), "id", "source").collect()
     assert sum(r.n_pairs for r in report) == len(expected)
 
 
 def test_near_duplicates(spark, rng):
     rows = table(rng)
-    expected = set(brute(rows, signature_tree.THETA))
+    expected = set(brute(rows))
     df = spark.createDataFrame(rows, SCHEMA)
     got = signature_tree.near_duplicate_pairs(df, "id", ["t"]).collect()
     assert {(r.id_a, r.id_b) for r in got} == expected and len(got) == len(expected) > 10
-    groups = {r.id: r.class_id for r in signature_tree.near_duplicate_groups(df, "id", ["t"]).collect()}
+    rows = signature_tree.near_duplicate_groups(df, "id", ["t"]).collect()
+    groups = {r.id: r.class_id for r in rows}
+    assert {r.id: r.n_links for r in rows} == {i: sum(i in p for p in expected) for i in groups}
     assert all(groups[a] == groups[b] for a, b in expected)
     assert len(set(groups.values())) == len(groups) - len({max(p) for p in expected})
 
@@ -107,33 +108,67 @@ def test_empty_table(spark, call):
     assert call(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_tree_prunes_but_loses_nothing():
+def tree(sets, groups, loose, kin=None):
+    text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    begin, place = C.signatures(text, K.mix(np.concatenate(sets).astype(np.uint64)).view(np.int64), len(sets))
+    n = np.array([len(x) for x in sets])
+    return signature_tree.Tree(groups, np.arange(len(sets)), n, n, n * 9, n * 3, C.bitmaps(begin, place), loose, kin)
+
+
+@pytest.mark.parametrize("groups", [1, 9])
+def test_tree_prunes_but_loses_nothing(groups):
     rng = np.random.default_rng(3)
-    sets = [rng.choice(4000, 40, replace=False) for _ in range(150)]
-    sets += [np.r_[s[:30], rng.choice(4000, 10)] for s in sets[:60]]
-    digests = [np.unique(s).astype(np.int32) for s in sets]
-    lens = [np.full(len(d), 9, np.uint8).tobytes() for d in digests]
-    total = np.array([9 * len(d) for d in digests])
-    f = signature_tree.Forest(np.arange(len(digests)), total, [d.tobytes() for d in digests], lens, 0.5)
-    near = {(i, j) for i, j in itertools.combinations(range(len(digests)), 2) if 9 * len(np.intersect1d(digests[i], digests[j])) >= 0.5 * max(total[i], total[j])}
-    a, b = f.dual(np.arange(len(digests)), None)
-    assert near <= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} and len(near) > 40
-    half = len(digests) // 2
-    a, b = f.dual(np.arange(half), np.arange(half, len(digests)))
-    assert {p for p in near if p[0] < half <= p[1]} <= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
-
-
-def test_subtrees(spark, rng, monkeypatch):
-    monkeypatch.setattr(signature_tree, "SUBTREE", 3)
+    sets = [rng.choice(4000, rng.integers(20, 60), replace=False) for _ in range(150)]
+    sets += [np.r_[s[:15], rng.choice(4000, len(s) - 15) + 4000] for s in sets[:60]]
+    sets = [np.unique(s) for s in sets]
+    order = np.argsort(np.arange(len(sets)) % 150 % groups, kind="stable")
+    sets, group = [sets[i] for i in order], (np.arange(len(sets)) % 150 % groups)[order]
+    size = np.array([len(s) for s in sets])
+    near = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if group[i] == group[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.25 * max(size[i], size[j]) and min(size[i], size[j]) >= 0.75 * max(size[i], size[j])}
+    a, b = tree(sets, group, 0.25).pairs()
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    assert near <= got and len(near) > 20
+    assert len(got) < 0.05 * len(sets) ** 2 and all(group[x] == group[y] for x, y in got)
+    kin = np.arange(len(sets)) % 2
+    a, b = tree(sets, group, 0.25, kin).pairs()
+    assert {p for p in near if kin[p[0]] != kin[p[1]]} <= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+
+
+@pytest.mark.parametrize("part, leaves", [(3, 10), (2048, 5)])
+def test_parts_and_small_trees(spark, rng, monkeypatch, part, leaves):
+    monkeypatch.setattr(C, "PART", part)
+    monkeypatch.setattr(signature_tree, "LEAVES", leaves)
     t = text(rng)
     rows = [(i, edited(rng, t, 0.05)) for i in range(14)]
-    texts = C.long_form(spark.createDataFrame(rows, "id long, t string"), "id", ["t"])
-    ranked, _ = C.ranked(texts, 30, C.MEAN)
-    prefix = C.prefixes(ranked, 0.3)
-    hot = {r.digest: 14 for r in prefix.select("digest").distinct().collect()}
-    plain = {(r.doc_a, r.doc_b) for r in signature_tree.similar_texts(prefix, {}, 0.3).collect()}
-    split = signature_tree.similar_texts(prefix, hot, 0.3).collect()
-    assert {(r.doc_a, r.doc_b) for r in split} == plain and len(split) == len(plain) == 91
+    got = signature_tree.near_duplicate_pairs(spark.createDataFrame(rows, "id long, t string"), "id", ["t"]).collect()
+    assert {(r.id_a, r.id_b) for r in got} == set(brute([(i, None, t) for i, t in rows])) and len(got) == 91
+    sides = [(i, ["train", "test"][i % 2], t) for i, t in rows]
+    got = overlap.cross_split_pairs(spark.createDataFrame(sides, "id long, split string, t string"), "id", "t", overlap.split_side()).collect()
+    assert len({(r.id_0, r.id_1) for r in got}) == len(got) == 49
+
+
+def test_many_copies(spark, rng, monkeypatch):
+    monkeypatch.setattr(C, "PART", 4)
+    t = text(rng)
+    df = spark.createDataFrame([(i, t) for i in range(20)] + [(50, edited(rng, t, 0.05))], "id long, t string")
+    assert signature_tree.near_duplicate_pairs(df, "id", ["t"]).count() == 210
+    assert {r.n_links for r in signature_tree.near_duplicate_groups(df, "id", ["t"]).collect()} == {20}
+
+
+def test_one_long_text(spark, rng, monkeypatch):
+    """Prefix rows of a long text have a bounded size."""
+    t = text(rng, 8000)
+    assert len(t) > 200_000
+    df = spark.createDataFrame([(1, t), (2, edited(rng, t, 0.01)), (3, text(rng, 10))], "id long, t string")
+    rows, projected = C.ranked(C.long_form(df, "id", ["t"]), 30, C.MEAN)
+    assert max(len(r.bits) for r in C.prefixes(rows, C.LOOSE).select("bits").limit(50).collect()) <= C.BITS
+    assert [(r.id_a, r.id_b) for r in signature_tree.near_duplicate_pairs(df, "id", ["t"]).collect()] == [(1, 2)]
+
+
+def test_near_same():
+    t = "가나 다라 마바 사아 자차 카타 파하 거너"
+    moved, joined, half = "자차 카타 파하 거너 가나 다라 마바 사아", t.replace(" ", ""), "가나 다라 마바 사아 하나 둘셋 넷다 여섯"
+    assert C.near_same([t, t, t, t, "", "같다 같다", t], [moved, joined, half, t.upper(), "", "같다", ""]).tolist() == [True, True, False, True, False, False, False]
 
 
 def shared_brute(records, span):
