@@ -42,13 +42,13 @@ HOT = np.iinfo(np.int32).max
 BITS = 4096
 #: 64-bit words of a folded signature, which is looked at first.
 THIN = 8
-#: Rows of a chunk that one task compares; a chunk of more is split.
-PART = 2048
+#: Rows of a key that one task takes; more are split.
+PART = 16_384
 MEMBERS = "field string, side int, id bigint, text_hash bigint"
 #: what: 2 * the chunk's length + the text's side. A text's own row has a negative what, -1 - (2 * number of chunks +
 #: side), and its letters and words (32 bits each) as digest.
 POSTINGS = "digest bigint, doc bigint, what bigint"
-PREFIX = "digest bigint, df int, doc bigint, side int, n int, shared int, letters int, words int, bits array<smallint>"
+PREFIX = "digest bigint, df int, doc bigint, side int, n int, shared int, letters int, words int"
 
 
 def field_salt(field: str) -> np.int64:
@@ -185,6 +185,29 @@ def signatures(text: np.ndarray, digest: np.ndarray, n: int) -> tuple[np.ndarray
     return np.searchsorted(both, np.arange(n + 1) * BITS), (both % BITS).astype(np.int16)
 
 
+def gap_coded(begin: np.ndarray, place: np.ndarray) -> pa.Array:
+    """Signatures as bytes: the gaps between places, each as bytes that add up to it, 255 as often as it fits."""
+    gap = np.diff(place.astype(np.int64), prepend=0)
+    first = begin[:-1][np.diff(begin) > 0]
+    gap[first] = place[first]
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gap % 255
+    offsets = np.r_[0, ends][begin].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def gap_decoded(signed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, place) of gap-coded signatures."""
+    offsets = np.frombuffer(signed.buffers()[1], np.int32)[signed.offset : signed.offset + len(signed) + 1].astype(np.int64)
+    data = np.frombuffer(signed.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    add = np.r_[0, np.cumsum(data, dtype=np.int64)]
+    row = np.repeat(np.arange(len(signed)), np.diff(offsets))
+    real = data < 255
+    return np.r_[0, np.cumsum(real)][offsets], (add[1:] - add[offsets[:-1]][row])[real]
+
+
 def bitmaps(begin: np.ndarray, place: np.ndarray, fold: int = 1) -> np.ndarray:
     """Signatures as rows of 64-bit words, folded to BITS / fold bits."""
     out = np.zeros((len(begin) - 1, BITS // fold // 8), np.uint8)
@@ -195,7 +218,8 @@ def bitmaps(begin: np.ndarray, place: np.ndarray, fold: int = 1) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
-    """A row for each shared chunk in the prefix of each text; with longs, also the folded signature as THIN numbers."""
+    """A row for each shared chunk in the prefix of each text. Signatures are gap-coded; with longs, they are arrays of
+    places, and folded ones are given as THIN numbers, for use in expressions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["doc"]):
@@ -212,16 +236,16 @@ def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
             order = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size) + (n - size)[text]
             take = np.flatnonzero(order <= (n - np.ceil(loose * n))[text])
             begin, place = signatures(text, digest, len(at))
-            places = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(place))
+            signed = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(place)) if longs else gap_coded(begin, place)
             thin = [bitmaps(begin, place, BITS // 64 // THIN).view(np.int64)] if longs else []
             for a in range(0, len(take), 50_000):
                 u = take[a : a + 50_000]
                 x = text[u]
-                cols = [pa.array(digest[u]), pa.array(df[u]), pa.array(doc[at[x]]), *(pa.array(v[x].astype(np.int32)) for v in (side[at], n, size, letters, words)), places.take(pa.array(x))]
+                cols = [pa.array(digest[u]), pa.array(df[u]), pa.array(doc[at[x]]), *(pa.array(v[x].astype(np.int32)) for v in (side[at], n, size, letters, words)), signed.take(pa.array(x))]
                 cols += [pa.array(w[x, i]) for w in thin for i in range(THIN)]
                 yield pa.record_batch(cols, names=[c.split()[0] for c in schema.split(", ")])
 
-    schema = PREFIX + "".join(f", w{i} bigint" for i in range(THIN)) * longs
+    schema = PREFIX + (", bits array<smallint>" + "".join(f", w{i} bigint" for i in range(THIN)) if longs else ", bits binary")
     what = F.col("what")
     side = F.when(what < 0, -1 - what).otherwise(what).bitwiseAND(F.lit(1))
     return rows.repartition("doc").sortWithinPartitions("doc", side, what >= 0, "df", "digest").mapInArrow(run, schema)

@@ -112,7 +112,17 @@ def tree(sets, groups, loose, kin=None):
     text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     begin, place = C.signatures(text, K.mix(np.concatenate(sets).astype(np.uint64)).view(np.int64), len(sets))
     n = np.array([len(x) for x in sets])
-    return signature_tree.Tree(groups, np.arange(len(sets)), n, n, n * 9, n * 3, C.bitmaps(begin, place), loose, kin)
+    return signature_tree.Tree(groups, np.arange(len(sets)), n, n, n * 9, n * 3, begin, place, loose, kin)
+
+
+def test_gap_coded_signatures():
+    rng = np.random.default_rng(1)
+    text = np.sort(rng.integers(0, 50, 300)) * 2  # every second text has no token
+    begin, place = C.signatures(text, rng.integers(-(1 << 62), 1 << 62, 300), 101)
+    for coded in (C.gap_coded(begin, place), C.gap_coded(begin, place).slice(7, 60)):
+        b, p = C.gap_decoded(coded)
+        lo = 7 if len(coded) == 60 else 0
+        assert (b == begin[lo : lo + len(b)] - begin[lo]).all() and (p == place[begin[lo] : begin[lo + len(b) - 1]]).all()
 
 
 @pytest.mark.parametrize("groups", [1, 9])
@@ -137,7 +147,7 @@ def test_tree_prunes_but_loses_nothing(groups):
 @pytest.mark.parametrize("part, leaves", [(3, 10), (2048, 5)])
 def test_parts_and_small_trees(spark, rng, monkeypatch, part, leaves):
     monkeypatch.setattr(C, "PART", part)
-    monkeypatch.setattr(signature_tree, "LEAVES", leaves)
+    monkeypatch.setattr(signature_tree, "ENTRIES", leaves)
     t = text(rng)
     rows = [(i, edited(rng, t, 0.05)) for i in range(14)]
     got = signature_tree.near_duplicate_pairs(spark.createDataFrame(rows, "id long, t string"), "id", ["t"]).collect()
@@ -161,7 +171,7 @@ def test_one_long_text(spark, rng, monkeypatch):
     assert len(t) > 200_000
     df = spark.createDataFrame([(1, t), (2, edited(rng, t, 0.01)), (3, text(rng, 10))], "id long, t string")
     rows, projected = C.ranked(C.long_form(df, "id", ["t"]), 30, C.MEAN)
-    assert max(len(r.bits) for r in C.prefixes(rows, C.LOOSE).select("bits").limit(50).collect()) <= C.BITS
+    assert max(len(r.bits) for r in C.prefixes(rows, C.LOOSE, longs=True).select("bits").limit(50).collect()) <= C.BITS
     assert [(r.id_a, r.id_b) for r in signature_tree.near_duplicate_pairs(df, "id", ["t"]).collect()] == [(1, 2)]
 
 
