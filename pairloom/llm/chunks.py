@@ -1,11 +1,11 @@
 """Content-defined chunks as tokens: postings, a global rarity order, and exact prefix filtering.
 
 A text is folded (spacing, punctuation, case and Unicode form ignored) and cut where a rolling hash
-says so, hence an edit changes only the chunks around it. Two texts overlap by `loose` when the chunks they
-share are at least that part of the longer one's. Such a pair is a candidate, and its words are then
-compared (`confirmed`). Order the chunks of every text from rare to frequent: a candidate pair must then
-share a chunk within the first (1 - loose) of each text, its `prefix`. Only prefixes are joined. This
-holds for any common order, so no pair is lost.
+says so, hence an edit changes only the chunks around it. Two texts are candidates when the chunks they share
+are at least `loose` of the longer one's, by number and by weight; their words are then compared
+(`confirmed`). Set phrases, which unrelated texts share, weigh little. Order the chunks of every text from rare
+to frequent: a candidate pair must then share a chunk within the first (1 - loose) of each text's weight, its
+`prefix`. Only prefixes are joined. This holds for any common order, so no pair is lost.
 
 A prefix row has a fixed size, whatever the length of its text: a chunk, the text's hash and sizes, and a
 bitmap of its shared chunks that bounds its overlap with any other.
@@ -35,9 +35,11 @@ LOOSE = 0.2
 WORDS, TRIGRAMS = 0.75, 0.58
 #: Up to so many text hashes (8 bytes each) are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Planning sample: it only decides which chunks skip the frequency shuffle, never which pairs are found.
+#: Planning sample: it only decides which chunks are counted without a shuffle, never which pairs are found.
 SAMPLE_TEXTS, HOT_IN_SAMPLE = 4000, 10
-HOT = np.iinfo(np.int32).max
+#: A chunk of more than one in PHRASE_SHARE texts, and of more than LEAST_PHRASE, is a set phrase. It weighs 1, as does a
+#: chunk that no other text has; others weigh INFORMS.
+PHRASE_SHARE, LEAST_PHRASE, INFORMS = 1000, 100, 8
 #: Bits of a text's signature, many for its 40 chunks or so, since a bound on what two texts share allows for collisions.
 BITS = 4096
 #: 64-bit words of a folded signature, which is looked at first.
@@ -120,36 +122,38 @@ def postings(texts: DataFrame, least_words: int, mean: int) -> DataFrame:
     return texts.mapInArrow(run, POSTINGS)
 
 
-def frequent_chunks(texts: DataFrame, least_words: int, mean: int) -> tuple[list[int], list[int]]:
-    """Chunks that a sample of about SAMPLE_TEXTS texts holds HOT_IN_SAMPLE times or more, with their
-    projected number of texts. The list is bounded by the sample, whatever the input."""
+def frequent_chunks(texts: DataFrame, least_words: int, mean: int) -> tuple[DataFrame, int]:
+    """((digest, hot_df), texts): chunks that a sample of about SAMPLE_TEXTS texts holds HOT_IN_SAMPLE times or more,
+    with the exact number of texts that hold them, and the number of texts. The list is bounded by the sample,
+    whatever the input."""
     n = texts.count()
     share = min(1.0, SAMPLE_TEXTS / max(n, 1))
-    found = postings(texts.sample(False, share, 7) if share < 1 else texts, least_words, mean).where("what >= 0").groupBy("digest").count().where(F.col("count") >= HOT_IN_SAMPLE).collect()
-    return [r["digest"] for r in found], [int(r["count"] / share) for r in found]
-
-
-def ranked(texts: DataFrame, least_words: int, mean: int, across: bool = False) -> tuple[DataFrame, dict[int, int]]:
-    """Postings with the number of texts that hold the chunk (df), without those of a single text, or, across, of a
-    single side. Texts' own rows stay.
-
-    Frequent chunks get the highest df without a shuffle on their key; among the rest, no key has
-    more than about HOT_IN_SAMPLE / SAMPLE_TEXTS of all texts, so counting in a window is even."""
-    hot, projected = frequent_chunks(texts, least_words, mean)
-    spark = texts.sparkSession
-    rows = postings(texts, least_words, mean)
-    hot_df = F.broadcast(spark.createDataFrame([(x,) for x in hot], "digest bigint"))
-    tagged = rows.join(hot_df.withColumn("hot", F.lit(True)), "digest", "left")
+    counted = lambda x: postings(x, least_words, mean).where("what >= 0").groupBy("digest").count()
+    found = [(r["digest"], r["count"]) for r in counted(texts.sample(False, share, 7) if share < 1 else texts).where(F.col("count") >= HOT_IN_SAMPLE).collect()]
+    spark: SparkSession = texts.sparkSession
+    if share < 1:
+        rows = postings(texts, least_words, mean).where("what >= 0").join(F.broadcast(spark.createDataFrame([(d,) for d, _ in found], "digest bigint")), "digest")
+        found = [(r["digest"], r["count"]) for r in rows.groupBy("digest").count().collect()]
+    return spark.createDataFrame(found, "digest bigint, hot_df bigint"), n
+
+
+def ranked(texts: DataFrame, least_words: int, mean: int, across: bool = False) -> tuple[DataFrame, int]:
+    """(postings, phrase): postings with the number of texts that hold the chunk (df), without those of a single
+    text, or, across, of a single side; texts' own rows stay. A chunk of more than `phrase` texts is a set phrase.
+
+    Frequent chunks are counted without a shuffle of their rows by key; among the rest, no key has more than about
+    HOT_IN_SAMPLE / SAMPLE_TEXTS of all texts, so counting in a window is even."""
+    hot, n = frequent_chunks(texts, least_words, mean)
+    tagged = postings(texts, least_words, mean).join(F.broadcast(hot), "digest", "left")
     own = F.col("what") < 0
     # the rows of a hot chunk, and texts' own, are spread by text, the others meet by chunk
-    key = F.when(F.col("hot") | own, F.col("doc")).otherwise(F.col("digest"))
+    key = F.when(F.col("hot_df").isNotNull() | own, F.col("doc")).otherwise(F.col("digest"))
     meet = Window.partitionBy("key")
-    counted = tagged.withColumn("key", key).withColumn("df", F.count(F.lit(1)).over(meet).cast("int"))
-    if across:
-        side = F.col("what").bitwiseAND(F.lit(1))
-        counted = counted.withColumn("both", F.min(side).over(meet) < F.max(side).over(meet))
-    kept = counted.where(own | F.col("hot") | (F.col("both") if across else F.col("df") > 1))
-    return kept.select("digest", "doc", "what", F.when(F.col("hot"), F.lit(int(HOT))).otherwise(F.col("df")).alias("df")), dict(zip(hot, projected))
+    counted = tagged.withColumn("key", key).withColumn("df", F.coalesce("hot_df", F.count(F.lit(1)).over(meet)).cast("int"))
+    side = F.col("what").bitwiseAND(F.lit(1))
+    alone = F.min(side).over(meet) == F.max(side).over(meet) if across else F.col("df") < 2
+    kept = counted.withColumn("alone", alone).where(own | F.col("hot_df").isNotNull() | ~F.col("alone"))
+    return kept.select("digest", "doc", "what", "df"), max(LEAST_PHRASE, n // PHRASE_SHARE)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], least: int = 200_000) -> Iterator[pa.Table]:
@@ -217,8 +221,8 @@ def bitmaps(begin: np.ndarray, place: np.ndarray, fold: int = 1) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
-    """A row for each shared chunk in the prefix of each text. Signatures are gap-coded; with longs, they are arrays of
+def prefixes(rows: DataFrame, phrase: int, loose: float, longs: bool = False) -> DataFrame:
+    """A row for each shared chunk in the prefix of each text, by weight. Signatures are gap-coded; with longs, they are arrays of
     places, and folded ones are given as THIN numbers, for use in expressions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +237,11 @@ def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
             use = ~own & np.r_[True, (digest[1:] != digest[:-1]) | start[1:]]  # the same text from two tasks
             text, digest, df = text[use], digest[use], df[use]
             size = np.bincount(text, minlength=len(at))
-            order = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size) + (n - size)[text]
-            take = np.flatnonzero(order <= (n - np.ceil(loose * n))[text])
+            weight = np.where(df > phrase, 1, INFORMS)
+            rest = np.cumsum(weight[::-1])[::-1]  # from a row on
+            ends = np.r_[rest, 0][np.cumsum(size)]
+            total = n - size + np.bincount(text, weight, len(at))
+            take = np.flatnonzero(rest - ends[text] >= loose * total[text])
             begin, place = signatures(text, digest, len(at))
             signed = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(place)) if longs else gap_coded(begin, place)
             thin = [bitmaps(begin, place, BITS // 64 // THIN).view(np.int64)] if longs else []
@@ -251,13 +258,9 @@ def prefixes(rows: DataFrame, loose: float, longs: bool = False) -> DataFrame:
     return rows.repartition("doc").sortWithinPartitions("doc", side, what >= 0, "df", "digest").mapInArrow(run, schema)
 
 
-def parts(prefix: DataFrame, projected: dict[int, int], size: int) -> tuple[DataFrame, Column]:
-    """prefix + (projected), and in how many parts of about `size` rows each row's chunk is to be split."""
-    spark: SparkSession = prefix.sparkSession
-    many = [(d, n) for d, n in projected.items() if n > size]
-    table = F.broadcast(spark.createDataFrame(many, "digest bigint, projected int"))
-    n = F.when(F.col("df") == int(HOT), F.coalesce("projected", F.lit(0))).otherwise(F.col("df"))
-    return prefix.join(table, "digest", "left"), F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+def parts(size: int) -> Column:
+    """In how many parts of about `size` rows a chunk's rows are to be split."""
+    return F.greatest(F.lit(1), F.ceil(F.col("df") / size)).cast("int")
 
 
 def met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -26,13 +26,12 @@ def split_side(split_col: str = "split") -> str:
     return f"case when {s} = 'train' then 0 when {s} in ('dev', 'test') then 1 end"
 
 
-def candidates(prefix: DataFrame, projected: dict[int, int], loose: float) -> DataFrame:
+def candidates(prefix: DataFrame, loose: float) -> DataFrame:
     """(doc_a of side 0, doc_b of side 1): texts that share a chunk of their prefixes and, by their signatures, folded
     ones first, may share `loose` of their chunks. A frequent chunk's rows are split on one side and repeated on
     the other."""
-    rows, parts = C.parts(prefix, projected, C.PART)
     words = [f"w{i}" for i in range(C.THIN)]
-    rows = rows.withColumn("parts", parts).withColumn("thin", F.col("shared") - sum((F.bit_count(w) for w in words), F.lit(0))).withColumn("folded", F.col("shared") - F.size("bits"))
+    rows = prefix.withColumn("parts", C.parts(C.PART)).withColumn("thin", F.col("shared") - sum((F.bit_count(w) for w in words), F.lit(0))).withColumn("folded", F.col("shared") - F.size("bits"))
     rows = rows.select("digest", "doc", "side", "n", "parts", "thin", "folded", *words, "bits")
     a = rows.where("side = 0").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("side", "parts")
     b = rows.where("side = 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("side", "parts")
@@ -68,8 +67,8 @@ def cross_split_texts(df: DataFrame, id_col: str, text_col: str, side: str, leas
     """(links, members): links (doc_a of side 0, doc_b of side 1, shared, fraction_a, fraction_b) between different
     texts, and which rows hold each text."""
     texts = C.long_form(df, id_col, [text_col], side)
-    rows, projected = C.ranked(texts, least_words, mean, across=True)
-    links = C.confirmed(candidates(C.prefixes(rows, loose, longs=True), projected, loose), texts, least_words)
+    rows, phrase = C.ranked(texts, least_words, mean, across=True)
+    links = C.confirmed(candidates(C.prefixes(rows, phrase, loose, longs=True), loose), texts, least_words)
     return with_fractions(links, texts, least_words, mean), written(C.members(texts, least_words), "members")
 
 

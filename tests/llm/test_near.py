@@ -170,8 +170,8 @@ def test_one_long_text(spark, rng, monkeypatch):
     t = text(rng, 8000)
     assert len(t) > 200_000
     df = spark.createDataFrame([(1, t), (2, edited(rng, t, 0.01)), (3, text(rng, 10))], "id long, t string")
-    rows, projected = C.ranked(C.long_form(df, "id", ["t"]), 30, C.MEAN)
-    assert max(len(r.bits) for r in C.prefixes(rows, C.LOOSE, longs=True).select("bits").limit(50).collect()) <= C.BITS
+    rows, phrase = C.ranked(C.long_form(df, "id", ["t"]), 30, C.MEAN)
+    assert max(len(r.bits) for r in C.prefixes(rows, phrase, C.LOOSE, longs=True).select("bits").limit(50).collect()) <= C.BITS
     assert [(r.id_a, r.id_b) for r in signature_tree.near_duplicate_pairs(df, "id", ["t"]).collect()] == [(1, 2)]
 
 
