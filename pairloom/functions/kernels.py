@@ -19,13 +19,14 @@ def most_repeated_gram(text: str | None, n: int = 6) -> int:
 
 
 def longest_loop(text: str | None, periods: int = 4) -> int:
-    """Words in the longest stretch that repeats itself with a period of 1 to 4 words; 0 if none does."""
+    """Words in the longest stretch in which each word equals the one `period` before it, for a period of 1 to 4, the
+    first period included; 0 if no word does."""
     w, best = (text or "").split(), 0
     for p in range(1, periods + 1):
         run = 0
         for i in range(p, len(w)):
             run = run + 1 if w[i] == w[i - p] else 0
-            if run >= p:
+            if run:
                 best = max(best, run + p)
     return best
 
@@ -93,10 +94,11 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def sentence_scores(a: str, b: str, autojunk: bool = False) -> tuple[int, int]:
+def sentence_scores(a: str, b: str, autojunk: bool = True) -> tuple[int, int]:
     """(reused, closeness) of two sentences. Equal or contained ones are reused. Of others, unless both have
     fewer than five words, closeness counts which of four hold: common run of characters, its words,
-    edit distance, common words."""
+    edit distance, common words. autojunk, on as in difflib, leaves out characters that are frequent in a sentence of
+    200 and more."""
     if a == b or a in b or b in a:
         return 1, 0
     x, y = a.split(), b.split()
@@ -131,6 +133,18 @@ def exact_binomial(k: int, n: int) -> float:
     return min(1.0, float(2 * sum(comb(n, i) for i in range(k + 1)) / 2**n))
 
 
+def copied_share(a: str | None, b: str | None, n: int = 12) -> float:
+    """Percent of a's distinct runs of n characters that b has; 0 if a has none."""
+    a, b = a or "", b or ""
+    x = {a[i : i + n] for i in range(len(a) - n + 1)}
+    return 100.0 * len(x & {b[i : i + n] for i in range(len(b) - n + 1)}) / len(x) if x else 0.0
+
+
+@pandas_udf(DoubleType())
+def copied_share_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([copied_share(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 @pandas_udf(IntegerType())
 def most_repeated_gram_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the measures look for.
 QUOTED = r"[“‘\"]([^”’\"]{5,})[”’\"]"
 MARKDOWN = r"(?m)\*\*|^#{1,4}\s|^\s*[-*•]\s"
 CONTAMINATION = r"(?i)(^|\n)\s*(#{1,6}\s*)?(분석 결과|자연도 등급|주요 변경 사항|의미 보존 검증)"
-NUMBER = r"\d+(?:[.,]\d+)*\s*(?:%|퍼센트|명|건|개|년|월|일|시간|배|원|억|만|천)?"
+NUMBER = r"(?U)\d+(?:[.,]\d+)*\s*(?:%|퍼센트|명|건|개|년|월|일|시간|배|원|억|만|천)?"
 NEGATION = r"않|못하|못한|없|아니|불가|미흡|비유의"
-DIRECTIONS = {"up": "증가|늘어|상승|높아|많아", "down": "감소|줄어|하락|낮아|적어", "significant": "유의(?!하지|하지 않)", "insignificant": "유의하지 않|유의미하지 않|비유의", "positive": r"정\(\+\)|정적 (?:상관|영향)|양(?:\(\+\)|의 상관)", "negative": r"부\(-\)|부적 (?:상관|영향)|음(?:\(-\)|의 상관)"}
+DIRECTIONS = {"증가": "증가|늘어|상승|높아|많아", "감소": "감소|줄어|하락|낮아|적어", "유의": "유의(?!하지|하지 않)", "비유의": "유의하지 않|유의미하지 않|비유의", "정적": r"정\(\+\)|정적 (?:상관|영향)|양(?:\(\+\)|의 상관)", "부적": r"부\(-\)|부적 (?:상관|영향)|음(?:\(-\)|의 상관)"}
 TITLE_LINE = r"^\s*(?:(?:제목|Title|(?:다듬은|수정된|편집된|정리한)\s*(?:본문|글|텍스트)|Polished(?:\s+text)?)\s*[:：]\s*|(?:제목|Title)\s*[:：][^\n]*)(?:\n|$)"
 
 
@@ -121,3 +121,54 @@ def multiset_surplus(a: Column, b: Column) -> Column:
 def directions_lost(a: Column, b: Column) -> Column:
     """Names of the directions that a states and b doesn't."""
     return F.array_compact(F.array(*[F.when(a.rlike(p) & ~b.rlike(p), F.lit(k)) for k, p in DIRECTIONS.items()]))
+
+
+def style_sentences(c: Column) -> Column:
+    """Sentences, cut also after a 다."""
+    return F.filter(F.split(F.regexp_replace(stripped(c), r"(?U)(?<=[.!?다])\s+", "\u0001"), "\u0001"), lambda x: x != "")
+
+
+def style_features(c: Column) -> dict[str, Column]:
+    """The style features that need no tagger, for 1,000 characters or in characters."""
+    n, s = F.greatest(F.length(c), F.lit(1)), F.greatest(F.size(style_sentences(c)), F.lit(1))
+    times = lambda w: F.regexp_count(c, F.lit(w))
+    return {"ttohan": times("또한") / n * 1000, "geosida": (times("것이다") + times("것으로")) / n * 1000, "sentences": s / n * 1000, "sentence_chars": n / s}
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with {names} replaced by columns."""
+    out = F.lit(template)
+    for name, v in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), v)
+    return out
+
+
+def token_budget(target: Column, ratio: float) -> Column:
+    return F.floor(target * F.lit(ratio)).cast("int")
+
+
+def attempt_seed(seed: int, i: Column, attempt: Column) -> Column:
+    return F.lit(seed) + i + 1000 * attempt
+
+
+def member_digest(df: DataFrame, group: str, name: str, content: str) -> DataFrame:
+    """group + (digest): sha256 over the members' names and digests, in the order of names. Only digests are
+    gathered, 80 bytes a member."""
+    member = F.struct(F.col(name).alias("k"), F.concat(F.col(name).cast("string"), F.lit(":"), F.sha2(F.col(content).cast("binary"), 256)).alias("v"))
+    lines = F.transform(F.array_sort(F.collect_list(member)), lambda x: x["v"])
+    return df.groupBy(group).agg(F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("digest"))
+
+
+def parsed_number(c: Column) -> Column:
+    """"1,985", "−1.26%p" and the like as doubles; null where there is no number."""
+    t = F.regexp_replace(F.regexp_replace(stripped(c), "[−–]", "-"), r"[,\s]|%p?$", "")
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.cast("double"))
+
+
+def html_escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def plain_lines(c: Column) -> Column:
+    """Line ends as \\n."""
+    return F.regexp_replace(c, "\r\n?", "\n")

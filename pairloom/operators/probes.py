@@ -6,19 +6,19 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import char_grams, squeezed, words
+from pairloom.functions.text import char_grams, squeezed, word_grams, words
 from pairloom.operators.stats import auroc
 
 
 def _grams(df: DataFrame, text: str) -> DataFrame:
     t = squeezed(F.col(text))
-    return df.withColumn("_grams", F.concat(*[char_grams(t, n) for n in (2, 3)]))
+    return df.withColumn("_grams", F.concat(*[char_grams(t, n) for n in (2, 3, 4)]))
 
 
-def text_probe(train: DataFrame, test: DataFrame, text: str, label: str, features: int = 1 << 16, ridge: float = 1e-3) -> DataFrame:
+def text_probe(train: DataFrame, test: DataFrame, text: str, label: str, features: int = 1 << 18, ridge: float = 1e-3) -> DataFrame:
     """(n_pos, n_neg, auroc) on test of a TF-IDF probe fitted on train."""
     pipe = Pipeline(stages=[HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge, maxIter=30)])
     model = pipe.fit(_grams(train, text))
@@ -26,7 +26,7 @@ def text_probe(train: DataFrame, test: DataFrame, text: str, label: str, feature
     return auroc(scored, [], "p", "y")
 
 
-def out_of_fold(df: DataFrame, text: str, label: str, fold: str, k: int, features: int = 1 << 16) -> DataFrame:
+def out_of_fold(df: DataFrame, text: str, label: str, fold: str, k: int, features: int = 1 << 18) -> DataFrame:
     """df's key columns + (p): each row scored by the probe that was fitted without its fold."""
     out = None
     for f in range(k):
@@ -37,9 +37,22 @@ def out_of_fold(df: DataFrame, text: str, label: str, fold: str, k: int, feature
     return out
 
 
-def telling_words(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 50_000) -> DataFrame:
-    """(word, weight): the words of largest and least weight in a word probe."""
-    x = df.withColumn("_w", words(F.col(text)))
+def cross_validated(df: DataFrame, key: str, text: str, label: str, k: int = 5, features: int = 1 << 18) -> DataFrame:
+    """(folds, auroc): mean AUC over k folds that hold equal shares of both labels; null with fewer than k rows of one."""
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)) - 1
+    x = df.withColumn("fold", (place % k).cast("int"))
+    least = df.groupBy(label).count().agg(F.min("count").alias("n"), F.count(F.lit(1)).alias("labels")).first()
+    if least["labels"] < 2 or least["n"] < k:
+        return df.sparkSession.createDataFrame([(k, None)], "folds int, auroc double")
+    per = auroc(out_of_fold(x, text, label, "fold", k, features), ["fold"], "p", label)
+    return per.agg(F.lit(k).alias("folds"), F.avg("auroc").alias("auroc"))
+
+
+def telling_words(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 100_000) -> DataFrame:
+    """(word, weight): the words, and runs of two and three words, of largest and least weight in a probe over the
+    `vocabulary` most frequent ones."""
+    w = words(F.col(text))
+    x = df.withColumn("_w", F.concat(w, word_grams(w, 2), word_grams(w, 3)))
     pipe = Pipeline(stages=[CountVectorizer(inputCol="_w", outputCol="_x", vocabSize=vocabulary, minDF=2), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1e-3, maxIter=30)])
     model = pipe.fit(x)
     ranked = sorted(zip(model.stages[1].coefficients.toArray().tolist(), model.stages[0].vocabulary))

@@ -70,3 +70,36 @@ def floor_filled(df: DataFrame, kept: Column, by: str, margin: Column, least: in
     x = df.withColumns({"_kept": F.coalesce(kept, F.lit(False)), "_margin": margin}).withColumn("_n", F.sum(F.col("_kept").cast("int")).over(w))
     x = x.withColumn("_r", F.row_number().over(w.orderBy(F.col("_kept"), F.col("_margin").desc_nulls_last(), tie)))
     return x.where(F.col("_kept") | (F.col("_r") <= least - F.col("_n"))).withColumn("floor", ~F.col("_kept")).drop("_kept", "_margin", "_n", "_r")
+
+
+def without_trained(pool: DataFrame, trained: DataFrame, key: str) -> DataFrame:
+    """The pool's distinct keys that a classifier was not trained on."""
+    return pool.where(F.col(key).isNotNull()).select(key).distinct().join(trained.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def score_source(df: DataFrame, first: Column, a: str, b: str) -> DataFrame:
+    """df + (score, src): column a where `first` holds, b elsewhere; a missing score fails when run."""
+    value = F.when(first, F.col(a)).otherwise(F.col(b))
+    return df.withColumns({"score": F.coalesce(value, F.raise_error(F.lit("a row has no score of its source")).cast("double")), "src": F.when(first, "oof").otherwise("final")})
+
+
+def manifest_rows(manifest: DataFrame, rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The manifest's rows in full; fails, when run, unless it has exactly n distinct ids, all of them in rows."""
+    have = manifest.agg(F.count(F.lit(1)).alias("_all"), F.countDistinct(key).alias("_ids"))  # one row
+    ok = (F.col("_all") == n) & (F.col("_ids") == n)
+    checked = manifest.crossJoin(F.broadcast(have)).where(F.when(ok, True).otherwise(F.raise_error(F.lit(f"a manifest must hold {n} different ids")).cast("boolean"))).drop("_all", "_ids")
+    return joined_complete(checked, rows, key)
+
+
+def given_or_sample(given: DataFrame, rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(key): the given ids if there are any, else n of rows in a seeded order."""
+    if given.limit(1).count():
+        return given.select(key)
+    return rows.select(key).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def numbered_on(new: DataFrame, old: DataFrame, key: str, order: str) -> DataFrame:
+    """new + (candidate): its number within its key, counted on from the rows that old has."""
+    have = old.groupBy(key).agg(F.count(F.lit(1)).alias("_have"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return new.withColumn("_place", place).join(have, key, "left").withColumn("candidate", F.coalesce("_have", F.lit(0)) + F.col("_place")).drop("_have", "_place")

@@ -86,3 +86,33 @@ def bootstrap_mean(df: DataFrame, by: str, value: str, seed: int = 42, samples:
         return pd.DataFrame({by: [p[by].iloc[0]], "mean": [float((v * n).sum() / total)], "low": [low], "high": [high]})
 
     return counted.groupBy(by).applyInPandas(run, f"`{by}` {kind}, mean double, low double, high double")
+
+
+def quality_gate(df: DataFrame, by: list[str], ratio: Column, bad: Column, cos: Column, acute: Column) -> DataFrame:
+    """by + (n, ratio, bad, cos, acute, reasons, passed): median length ratio, contaminated outputs, mean cosine, percent
+    of acute collapse, the rules that fail and whether none does. A missing cosine fails nothing."""
+    x = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile(ratio, F.lit(0.5)).alias("ratio"), F.count_if(bad).alias("bad"), F.avg(cos).alias("cos"), (100 * rate(acute)).alias("acute"))
+    rules = {"length": ~F.col("ratio").between(0.65, 1.35), "contaminated": F.col("bad") > F.greatest(F.lit(1), F.round(0.05 * F.col("n"))), "meaning": F.col("cos") < 0.85, "collapse": F.col("acute") > 5}
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return x.withColumn("_r", reasons).withColumns({"reasons": F.array_join("_r", "; "), "passed": F.size("_r") == 0}).drop("_r")
+
+
+def tau_higher_by(df: DataFrame, by: list[str], score: str, fpr: float) -> DataFrame:
+    """by + (tau): tau_higher() for each group, over counted scores."""
+    c = df.where(F.col(score).isNotNull()).groupBy(*by, score).count()
+    w = Window.partitionBy(*by)
+    c = c.withColumns({"_u": F.sum("count").over(w.orderBy(score)), "_n": F.sum("count").over(w)})
+    return c.where(F.col("_u") >= F.ceil(F.lit(1 - fpr) * (F.col("_n") - 1)) + 1).groupBy(*by).agg(F.min(score).alias("tau"))
+
+
+def detector_gate(df: DataFrame, by: list[str], human: str, ai: str, tau: str, fpr_max: float = 0.08, tpr_min: float = 0.80) -> DataFrame:
+    """by + (tau, fpr, tpr, collapsed)."""
+    out = df.groupBy(*by).agg(F.first(tau).alias("tau"), rate(F.col(human) > F.col(tau)).alias("fpr"), rate(F.col(ai) > F.col(tau)).alias("tpr"))
+    return out.withColumn("collapsed", (F.col("fpr") > fpr_max) | (F.col("tpr") < tpr_min))
+
+
+def mean_abs_z(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df + (distance): mean of |value - mean| / (population deviation + 1e-8) over columns."""
+    s = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[(F.stddev_pop(c) + 1e-8).alias(f"_s_{c}") for c in columns])  # one row
+    z = [F.abs((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns]
+    return df.crossJoin(F.broadcast(s)).withColumn("distance", sum(z[1:], z[0]) / len(columns)).drop(*[f"_{k}_{c}" for k in "ms" for c in columns])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -79,3 +81,49 @@ def expanded(template: str, **values: str) -> str:
 
 def masked(text: str, key: str) -> str:
     return text.replace(key, "***") if key else text
+
+
+@contextmanager
+def exclusive(path: str) -> Iterator[None]:
+    """Holds a lock file; a second run that asks for it fails at once."""
+    try:
+        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise RuntimeError(f"another run holds {path}") from None
+    try:
+        os.write(handle, str(os.getpid()).encode())
+        os.close(handle)
+        yield
+    finally:
+        os.remove(path)
+
+
+def run_all(tasks: dict[str, Callable[[], None]], workers: int = 4) -> dict[str, Exception]:
+    """Runs tasks side by side, all of them; returns what failed."""
+    failed: dict[str, Exception] = {}
+
+    def one(name: str) -> None:
+        try:
+            tasks[name]()
+        except Exception as e:  # noqa: BLE001  collected, not hidden
+            failed[name] = e
+
+    with ThreadPoolExecutor(workers) as pool:
+        list(pool.map(one, tasks))
+    return failed
+
+
+def piloted(run: Callable[[int], None], good: Callable[[], bool], pilot: int = 20, full: int = 100) -> bool:
+    """A small run first; the full one only if its result is good."""
+    run(pilot)
+    if not good():
+        return False
+    run(full)
+    return True
+
+
+def expect_rows(counts: dict[str, int], expected: dict[str, int]) -> None:
+    """Fails with all tables whose number of rows isn't the one expected."""
+    wrong = {k: (counts.get(k), n) for k, n in expected.items() if counts.get(k) != n}
+    if wrong:
+        raise ValueError(f"rows (found, expected): {wrong}")

@@ -167,10 +167,10 @@ def q_macro_matrix(spark, d):
 
 
 def _wide(spark, d) -> DataFrame:
-    return _scores(spark, d).groupBy("id").pivot("kind", ["human", "g1", "g2"]).agg(F.max("score"))
+    return _scores(spark, d).groupBy("id").pivot("kind", ["human", "g1", "g2", "g3", "g4"]).agg(F.max("score"))
 
 
-WIDE = SCORES + ", w as (select id, max(score) filter (where kind = 'human') as human, max(score) filter (where kind = 'g1') as g1, max(score) filter (where kind = 'g2') as g2 from scores group by id)"
+WIDE = SCORES + ", w as (select id, max(score) filter (where kind = 'human') as human, max(score) filter (where kind = 'g1') as g1, max(score) filter (where kind = 'g2') as g2, max(score) filter (where kind = 'g3') as g3, max(score) filter (where kind = 'g4') as g4 from scores group by id)"
 
 
 @query(f"with {WIDE} select * from w")
@@ -239,20 +239,20 @@ def q_dedup_first_wins(spark, d):
     return R.first_wins(x, F.struct("domain", "article"), ["file_pos", "line_pos", "pair_id"]).select("pair_id", "domain", "article")
 
 
-@query("with t as (select distinct lower(trim(doc_id)) as k from pairs where lower(trim(split)) = 'train' and doc_id is not null) select pair_id from pairs p where lower(trim(split)) in ('dev', 'test') and not exists (select 1 from t where t.k = lower(trim(p.doc_id)))")
+@query(f"with x as (select pair_id, domain, lower(trim(split)) as s, {ARTICLE} as k from pairs) select pair_id from x where s in ('dev', 'test') and not exists (select 1 from x t where t.s = 'train' and t.k = x.k and t.domain = x.domain)")
 def q_leak_anti(spark, d):
-    """Evaluation rows whose article isn't in train."""
-    x = table(spark, d, "pairs").withColumns({"k": F.lower(F.trim("doc_id")), "s": R.clean_split(F.col("split"))})
-    return x.where("s in ('dev', 'test')").join(x.where("s = 'train'").select("k").distinct(), "k", "left_anti").select("pair_id")
+    """Evaluation rows whose article, of the same domain, isn't in train."""
+    x = table(spark, d, "pairs").select("pair_id", "domain", R.article_id(F.col("doc_id")).alias("k"), R.clean_split(F.col("split")).alias("s"))
+    return x.where("s in ('dev', 'test')").join(x.where("s = 'train'").select("domain", "k").distinct(), ["domain", "k"], "left_anti").select("pair_id")
 
 
-@query("with s as (select distinct lower(trim(split)) as s, lower(trim(doc_id)) as k from pairs where split is not null and doc_id is not null) select a.s as split_a, b.s as split_b, count(*) as shared from s a join s b on a.k = b.k and a.s < b.s group by 1, 2")
+@query(f"with s as (select distinct lower(trim(split)) as s, domain, {ARTICLE} as k from pairs where split is not null and doc_id is not null) select a.s as split_a, b.s as split_b, count(*) as shared from s a join s b on a.k = b.k and a.domain = b.domain and a.s < b.s group by 1, 2")
 def q_audit_sets(spark, d):
-    """Ids that two splits share."""
-    s = table(spark, d, "pairs").where("split is not null and doc_id is not null").select(F.lower(F.trim("split")).alias("s"), F.lower(F.trim("doc_id")).alias("k")).distinct()
-    # at most three splits for each id: aggregated before pairs are made
-    sets = s.groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("ss")).where(F.size("ss") > 1)
-    a = sets.select("k", "ss", F.posexplode("ss").alias("i", "split_a"))
+    """Articles that two splits share."""
+    s = table(spark, d, "pairs").where("split is not null and doc_id is not null").select(R.clean_split(F.col("split")).alias("s"), "domain", R.article_id(F.col("doc_id")).alias("k")).distinct()
+    # at most three splits for each article: aggregated before pairs are made
+    sets = s.groupBy("domain", "k").agg(F.sort_array(F.collect_set("s")).alias("ss")).where(F.size("ss") > 1)
+    a = sets.select("ss", F.posexplode("ss").alias("i", "split_a"))
     b = a.select("split_a", F.explode(F.slice("ss", F.col("i") + 2, F.greatest(F.size("ss") - F.col("i") - 1, F.lit(0)))).alias("split_b"))
     return b.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -263,10 +263,11 @@ def q_resolve_ids(spark, d):
     return R.resolved(table(spark, d, "pairs").select("pair_id", "doc_id"), table(spark, d, "human_pool"), "doc_id", "doc_id").select("pair_id", "pool_key")
 
 
-@query("with l as (select distinct source from pairs), r as (select distinct source from sources) select source, 'left' as side from l where source not in (select source from r where source is not null) union all select source, 'right' from r where source not in (select source from l where source is not null)")
+@query(f"with l as (select distinct {ARTICLE} as k from pairs where doc_id is not null), r as (select distinct {ARTICLE} as k from human_pool where doc_id is not null) select k, 'left' as side from l where k not in (select k from r) union all select k, 'right' from r where k not in (select k from l)")
 def q_set_differences(spark, d):
-    """Sources that only one of two tables has."""
-    return R.key_differences(table(spark, d, "pairs").where("source is not null"), table(spark, d, "sources").where("source is not null"), "source")
+    """Articles that only one of two tables has."""
+    of = lambda t: table(spark, d, t).where("doc_id is not null").select(R.article_id(F.col("doc_id")).alias("k"))
+    return R.key_differences(of("pairs"), of("human_pool"), "k")
 
 
 @query("with x as (select pair_id, coalesce(nullif(generator, ''), 'unknown') as g from pairs), c as (select g, count(*) as n from x group by g), e as (select g, n, 300 * n / (sum(n) over ())::double as e from c), q as (select g, (floor(e) + case when row_number() over (order by e - floor(e) desc, g) <= 300 - sum(floor(e)) over () then 1 else 0 end) as q from e) select pair_id, x.g as arm from x join q using (g) qualify row_number() over (partition by x.g order by md5(concat('42:', pair_id::varchar)), pair_id) <= any_value(q.q) over (partition by x.g)")
@@ -345,10 +346,12 @@ def q_quote_ratio(spark, d):
     return table(spark, d, "pairs").where("human_text is not null").select("pair_id", F.round(X.quote_ratio(F.col("human_text")), 9).alias("ratio"))
 
 
-@query("select doc_id from documents where regexp_matches(text, '(?m)\\*\\*|^#{1,4}[ \\t\\n\\f\\r]|^[ \\t\\n\\f\\r]*[-*•][ \\t\\n\\f\\r]')")
+@query("with x as (select 'documents' as tbl, doc_id as id, text from documents union all select 'gen_test', gen_id, text from gen_test union all select 'pairs', pair_id, ai_text from pairs) select tbl, count(*) as n, count(*) filter (where regexp_matches(text, '(?m)\\*\\*|^#{1,4}[ \\t\\n\\f\\r]|^[ \\t\\n\\f\\r]*[-*•][ \\t\\n\\f\\r]')) as marked, count(*) filter (where regexp_matches(text, '^[ \\t\\n\\f\\r]*#|[*][^*\\n]+[*]|^[-*•]')) as loose from x where text is not null group by tbl")
 def q_markdown(spark, d):
-    """P16."""
-    return table(spark, d, "documents").where(X.has_markdown(F.col("text"))).select("doc_id")
+    """Texts with Markdown, and by a looser pattern, in each table."""
+    of = lambda t, i, c: table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(i).alias("id"), F.col(c).alias("text"))
+    x = of("documents", "doc_id", "text").unionByName(of("gen_test", "gen_id", "text")).unionByName(of("pairs", "pair_id", "ai_text")).where("text is not null")
+    return x.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.has_markdown(F.col("text"))).alias("marked"), F.count_if(F.col("text").rlike(r"^[ \t\n\f\r]*#|[*][^*\n]+[*]|^[-*•]")).alias("loose"))
 
 
 @query("with x as (select gen_id, text, length(text) as n, regexp_matches(text, '(?i)(^|\\n)[ \\t\\n\\f\\r]*(#{1,6}[ \\t\\n\\f\\r]*)?(분석 결과|자연도 등급|주요 변경 사항|의미 보존 검증)') as c, text like '%<think>%' as th from gen_test where text is not null) select count(*) as n, count(*) filter (where c) as contaminated, count(*) filter (where th) as had_think, sum(n)::bigint as chars from x")
@@ -440,6 +443,12 @@ def q_rep3(spark, d):
     return x.select("gen_id", F.round(X.repeated_gram_share(F.col("w"), 3), 9).alias("rep3"))
 
 
+@query(r"with w as (select gen_id, list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '') as w from gen_test where text is not null), e as (select gen_id, p, unnest(list_filter(range(p + 1, greatest(len(w), p) + 1), lambda i: w[i] = w[i - p])) as i from w, (values (1), (2), (3), (4)) v(p)), g as (select gen_id, p, i - row_number() over (partition by gen_id, p order by i) as g from e), l as (select gen_id, max(n) as l from (select gen_id, p, g, count(*) + p as n from g group by gen_id, p, g) group by gen_id) select gen_test.gen_id, coalesce(l.l, 0)::int as loop from gen_test left join l using (gen_id) where text is not null")
+def q_longest_loop(spark, d):
+    """Words in the longest stretch that repeats itself."""
+    return table(spark, d, "gen_test").where("text is not null").select("gen_id", K.longest_loop_udf("text").alias("loop"))
+
+
 @query()
 def q_loops(spark, d):
     """Longest loop of each output, and the mean by round."""
@@ -463,16 +472,6 @@ def q_ngram_overlap(spark, d):
     return x.select("gen_id", F.round(X.copied_gram_share(F.regexp_replace("ai_text", r"[ \t\n\f\r]+", ""), F.regexp_replace("text", r"[ \t\n\f\r]+", "")), 6).alias("overlap"))
 
 
-@query("with t as (select g.gen_id, list_transform(regexp_extract_all(p.ai_text, '[0-9]+(?:[.,][0-9]+)*'), lambda x: x) as a, regexp_extract_all(g.text, '[0-9]+(?:[.,][0-9]+)*') as b from gen_test g join pairs p using (pair_id) where g.text is not null and p.ai_text is not null), u as (select gen_id, 0 as side, unnest(a) as v from t union all select gen_id, 1, unnest(b) from t), c as (select gen_id, v, count(*) filter (where side = 0) as na, count(*) filter (where side = 1) as nb from u group by all) select gen_id, sum(greatest(na - nb, 0))::bigint as missing, sum(greatest(nb - na, 0))::bigint as invented from c group by gen_id")
-def q_number_multiset(spark, d):
-    """Numbers lost and invented, as multisets."""
-    g = table(spark, d, "gen_test").where("text is not null").join(table(spark, d, "pairs").where("ai_text is not null").select("pair_id", "ai_text"), "pair_id")
-    of = lambda c: F.regexp_extract_all(F.col(c), F.lit("([0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
-    both = F.concat(F.transform(of("ai_text"), lambda v: F.struct(v.alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(of("text"), lambda v: F.struct(v.alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    c = g.select("gen_id", F.explode(both).alias("x")).groupBy("gen_id", "x.v").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
-    return c.groupBy("gen_id").agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missing"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("invented"))
-
-
 @query()
 def q_preservation(spark, d):
     """What each output keeps of its pair's human text, averaged by round."""
@@ -498,23 +497,6 @@ def q_source_stats(spark, d):
     return table(spark, d, "documents").where("text is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.stddev_pop(n) + 1e-8, 6).alias("std_length"))
 
 
-@query("with f as (select doc_id, length(text)::double as a, (length(text) - length(replace(text, ',', '')))::double as b from documents where text is not null), s as (select avg(a) as ma, stddev_pop(a) + 1e-8 as sa, avg(b) as mb, stddev_pop(b) + 1e-8 as sb from f) select doc_id, round((abs((a - ma) / sa) + abs((b - mb) / sb)) / 2, 6) as distance from f, s")
-def q_style_distance(spark, d):
-    """Mean |z| over plain-text features."""
-    f = table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").cast("double").alias("a"), F.regexp_count("text", F.lit(",")).cast("double").alias("b"))
-    s = f.agg(F.avg("a").alias("ma"), (F.stddev_pop("a") + 1e-8).alias("sa"), F.avg("b").alias("mb"), (F.stddev_pop("b") + 1e-8).alias("sb"))
-    return f.crossJoin(F.broadcast(s)).select("doc_id", F.round((F.abs((F.col("a") - F.col("ma")) / F.col("sa")) + F.abs((F.col("b") - F.col("mb")) / F.col("sb"))) / 2, 6).alias("distance"))
-
-
-@query("with x as (select domain, quantile_cont(length(ai_text) / greatest(length(human_text), 1)::double, 0.5) as ratio, count(*) filter (where regexp_matches(ai_text, '</?think>')) as bad, count(*) as n from pairs where ai_text is not null and human_text is not null group by domain) select domain, round(ratio, 9) as ratio, bad, n, (ratio between 0.65 and 1.35) and bad <= greatest(1, round(0.05 * n)) as ok from x")
-def q_quality_gate(spark, d):
-    """A21 A22."""
-    p = table(spark, d, "pairs").where("ai_text is not null and human_text is not null")
-    ratio = F.percentile(F.length("ai_text") / F.greatest(F.length("human_text"), F.lit(1)), F.lit(0.5))
-    x = p.groupBy("domain").agg(ratio.alias("r"), F.count_if(F.col("ai_text").rlike("</?think>")).alias("bad"), F.count(F.lit(1)).alias("n"))
-    return x.select("domain", F.round("r", 9).alias("ratio"), "bad", "n", (F.col("r").between(0.65, 1.35) & (F.col("bad") <= F.greatest(F.lit(1), F.round(0.05 * F.col("n"))))).alias("ok"))
-
-
 @query("with k as (select user_id, event_type, max(event_id) filter (where event_type <> 'error') as done from events group by all) select distinct e.user_id, e.event_type from events e where e.event_type = 'error' or not exists (select 1 from events f where f.user_id = e.user_id and f.event_type = 'purchase')")
 def q_resume_pending(spark, d):
     """Keys without a success yet."""
@@ -570,5 +552,17 @@ def q_out_of_fold(spark, d):
     from pairloom.operators.probes import out_of_fold
 
     x = table(spark, d, "documents").where("origin is not null and text is not null").select("doc_id", "text", (F.col("origin") != "human").cast("double").alias("y"))
-    scored = out_of_fold(S.folds(x, "doc_id", 3), "text", "y", "fold", 3, 1 << 14)
+    scored = out_of_fold(S.folds(x, "doc_id", 3), "text", "y", "fold", 3)
     return scored.select("doc_id", "fold", "y", "p")
+
+
+@query()
+def q_cross_validated(spark, d):
+    """M3: five-fold AUC of a probe for human against machine documents."""
+    from pairloom.operators.probes import cross_validated
+
+    x = table(spark, d, "documents").where("origin is not null and text is not null").select("doc_id", "text", (F.col("origin") != "human").cast("double").alias("y"))
+    return cross_validated(x, "doc_id", "text", "y")
+
+
+from pairloom.plans import gates  # noqa: E402, F401  registers more queries

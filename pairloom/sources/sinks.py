@@ -18,9 +18,19 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Most rows of a report that goes through the driver.
+SMALL = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    if df.limit(SMALL + 1).count() > SMALL:
+        raise ValueError(f"a report of more than {SMALL} rows: write a table instead")
+    return df
+
+
 def csv_with_mark(df: DataFrame, path: str) -> None:
-    """One CSV file with a byte order mark, for spreadsheets: small reports only, it goes through the driver."""
-    rows = df.toPandas()
+    """One CSV file with a byte order mark, for spreadsheets, of a report of at most SMALL rows."""
+    rows = _small(df).toPandas()
     _replace(path, lambda f: rows.to_csv(f, index=False), encoding="utf-8-sig")
 
 
@@ -47,6 +57,6 @@ def status(path: str, payload: dict) -> None:
 
 
 def markdown(df: DataFrame, columns: list[str]) -> str:
-    """A table of a small result."""
+    """A table of a result of at most SMALL rows."""
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in df.select(*columns).collect())])
+    return "\n".join([*lines, *("| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in _small(df.select(*columns)).collect())])

@@ -29,10 +29,12 @@ def short_of(candidates: DataFrame, wanted: DataFrame, key: str, k: int, most: i
     return x.withColumn("state", F.when(F.col("good") >= k, "full").when(F.col("have") >= most, "given_up").otherwise("more"))
 
 
-def stream_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, keys: list[str], step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def stream_new(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, keys: list[str], step: Callable[[DataFrame], DataFrame] | None = None, time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """JSON lines that arrive in a folder, each key once, through `step`, appended to another folder. A restart
-    with the same checkpoint goes on where the last run ended."""
-    rows = spark.readStream.schema(schema).json(source).dropDuplicates(keys)
+    with the same checkpoint goes on where the last run ended. With a time column, a key is remembered until the
+    watermark has passed it by `late`, which bounds the state; without one, all keys are."""
+    rows = spark.readStream.schema(schema).json(source)
+    rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if time else rows.dropDuplicates(keys)
     out = step(rows) if step else rows
     return out.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

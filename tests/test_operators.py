@@ -259,3 +259,74 @@ def test_plan(tmp_path):
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     with pytest.raises(KeyError):
         expanded("$NO_SUCH_NAME_HERE/x")
+
+
+def test_loops_count_from_the_first_match():
+    from pairloom.functions import kernels as K
+
+    assert [K.longest_loop(t) for t in ("a b c d a x", "a b a c", "a a", "a b c", "", "x a b a b a y")] == [5, 3, 2, 0, 0, 5]
+
+
+def test_frequent_characters_are_junk_in_long_sentences():
+    from pairloom.functions import kernels as K
+
+    a = "가 나 다 라 마 " * 50
+    assert K.sentence_scores("시작 " + a, a + "끝") != K.sentence_scores("시작 " + a, a + "끝", autojunk=False)
+
+
+def test_gates(spark):
+    from pairloom.operators import stats as ST
+
+    rows = [("a", 1.0, False, 0.9, False)] * 20 + [("b", 2.0, True, 0.5, True)] * 20 + [("c", 1.0, False, None, False)]
+    df = spark.createDataFrame(rows, "d string, r double, bad boolean, cos double, acute boolean")
+    got = {r.d: r for r in ST.quality_gate(df, ["d"], F.col("r"), F.col("bad"), F.col("cos"), F.col("acute")).collect()}
+    assert got["a"].passed and got["c"].passed and got["b"].reasons == "length; contaminated; meaning; collapse"
+    x = spark.createDataFrame([("a", 0.1, 0.9, 0.5)] * 9 + [("a", 0.6, 0.9, 0.5), ("b", 0.1, 0.9, 0.5)], "d string, h double, x double, tau double")
+    assert {r.d: r.collapsed for r in ST.detector_gate(x, ["d"], "h", "x", "tau").collect()} == {"a": True, "b": False}
+
+
+def test_records_and_samples(spark):
+    from pairloom.operators import records as R
+    from pairloom.operators import splits as S
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2 if i < 20 else 0]) for i in range(100)], "id long, g string")
+    draws = S.resampled(rows, "g", "id", 2000).collect()
+    share = sum(r.id < 20 and r.id % 2 == 1 for r in draws) / 2000
+    assert len(draws) == 2000 and abs(share - 0.5) < 0.05
+    assert S.resampled(rows.limit(0), "g", "id", 5).count() == 0
+    cut = {p: n for p, n in S.ratio_cut(rows, "id", (0.8, 0.9)).groupBy("part").count().collect()}
+    assert cut == {"train": 80, "dev": 10, "test": 10}
+    batches = S.length_batches(rows, "id", "id", 7).collect()
+    assert {r.id: r.batch for r in batches} == {i: (99 - i) // 7 for i in range(100)}
+    assert R.given_or_sample(rows.limit(0), rows, "id", 5).count() == 5 and R.given_or_sample(rows.limit(3), rows, "id", 5).count() == 3
+    with pytest.raises(Exception, match="different ids"):
+        R.manifest_rows(rows.limit(3), rows, "id", 4).collect()
+    with pytest.raises(Exception, match="no score"):
+        R.score_source(rows.withColumn("s", F.lit(None).cast("double")), F.col("id") > 0, "s", "s").collect()
+    on = R.numbered_on(rows.where("id > 49"), rows.where("id < 50"), "g", "id").groupBy("g").agg(F.min("candidate").alias("least")).collect()
+    assert {r.g: r.least for r in on} == {"a": 41}
+
+
+def test_text_forms(spark):
+    from pairloom.functions import text as X
+
+    df = spark.createDataFrame([("1,985",), ("−1.26%p",), ("x",), (None,)], "t string")
+    assert [r.n for r in df.select(X.parsed_number(F.col("t")).alias("n")).collect()] == [1985.0, -1.26, None, None]
+    r = spark.createDataFrame([("a<b>&\r\nc\rd", "나는 간다 그리고 왔다. 끝")], "t string, s string").select(X.html_escaped(F.col("t")).alias("h"), X.plain_lines(F.col("t")).alias("l"), F.size(X.style_sentences(F.col("s"))).alias("n"), X.filled("<{a}|{b}>", a=F.lit("1"), b=F.lit("{a}")).alias("f")).first()
+    assert (r.h, r.l, r.n, r.f) == ("a&lt;b&gt;&amp;\r\nc\rd", "a<b>&\nc\nd", 3, "<1|{a}>")
+
+
+def test_runs_side_by_side(tmp_path):
+    from pairloom.plans import pipeline as P
+
+    lock, done = str(tmp_path / "lock"), []
+    with P.exclusive(lock), pytest.raises(RuntimeError):
+        with P.exclusive(lock):
+            pass
+    with P.exclusive(lock):
+        pass
+    failed = P.run_all({"a": lambda: done.append(1), "b": lambda: 1 / 0, "c": lambda: done.append(2)})
+    assert sorted(done) == [1, 2] and set(failed) == {"b"}
+    assert not P.piloted(done.append, lambda: False) and done[-1] == 20
+    with pytest.raises(ValueError):
+        P.expect_rows({"a": 1}, {"a": 2})
