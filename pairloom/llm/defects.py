@@ -1,16 +1,23 @@
 """Problem 2: answers that are empty, cut off, refusals, copies of the prompt, or in another language.
 
-Built-in expressions only, but for the neighbour scan over sorted answers.
+Answers are sorted, and neighbours' common prefixes show shortened versions; lengths that too many answers have
+show limits; ends are judged by their context as in problem 1. Then come the rules for empty answers, refusals,
+language and copies. Built-in expressions, but for the neighbour scan and the shares of common letter runs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from pairloom.llm import kernels as K
 from pairloom.llm import truncation as T
 from pairloom.llm.store import written
 
@@ -23,11 +30,16 @@ DECLINE_EN = r"(?i)\b(can ?not|can't|unable to|not able to|must decline|won't|wi
 OPENING_EN = r"(?i)\b(I|I'm|sorry|apologi[sz]e|unfortunately|as an (assistant|ai|language model))\b"
 DECLINE_CJK = r"(できません|できかねます|お断り|お応えできない|无法|不能|抱歉|拒绝|無法)"
 OPENING_CJK = r"(申し訳|すみません|私は|抱歉|对不起|很遗憾|作为|我)"
-#: A refusal is short, apart from what it quotes.
-REFUSAL_LENGTH = 400
-#: Share of the answer's runs of six letters that occur in the prompt, from which it is a copy.
+#: A refusal is short, apart from what it quotes, or else has next to nothing of its prompt.
+REFUSAL_LENGTH, REFUSAL_SHARE = 400, 0.10
+#: Share of the answer's runs of six letters that occur in the prompt, from which it is a copy. An answer of fewer than
+#: SHORT letters is one if the prompt begins with it.
 COPY = 0.65
-COPY_GRAM, COPY_LEAST, PROBES = 6, 40, 21
+COPY_GRAM, SHORT, LEAST_COPY = 6, 40, 6
+#: What a shortened version may have beyond the beginning that it shares with a longer answer: a letter, or a mark.
+BEYOND = 2
+#: An end that is known to finish texts isn't cut, whatever neighbours and lengths say.
+FIRM_SHARE = 0.10
 
 
 def _where(mark: str, text: Column, pattern: str, by: str) -> Column:
@@ -55,22 +67,22 @@ def is_empty(text: Column, folded: Column) -> Column:
     return text.isNull() | (folded == "") | folded.isin(PLACEHOLDERS)
 
 
-def is_refusal(content: Column) -> Column:
-    """The answer, as left by with_content(), itself declines. What it quotes doesn't count, nor do others'
-    refusals that it reports: those are told in the past, of somebody else."""
-    t = F.regexp_replace(content, r"(?s)“.*?”|‘.*?’|(?<![\p{L}\p{N}])'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"", " ")
-    head = F.substring(t, 1, 160)
-    ko = head.rlike(OPENING_KO) & t.rlike(DECLINE_KO)
-    en = head.rlike(OPENING_EN) & t.rlike(DECLINE_EN)
-    cjk = head.rlike(OPENING_CJK) & t.rlike(DECLINE_CJK) & ~t.rlike("[가-힣]")
-    return (F.length(content) <= REFUSAL_LENGTH + 100) & (F.length(t) <= REFUSAL_LENGTH) & (ko | en | cjk)
+def declines(content: Column) -> tuple[Column, Column]:
+    """(whether the answer, as left by with_content(), declines near its beginning, whether it is short). What it quotes
+    doesn't count, nor do others' refusals that it reports: those are told in the past, of somebody else."""
+    t = F.regexp_replace(content, r"(?s)“[^”]*”|‘[^’]*’|(?<![\p{L}\p{N}])'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"", " ")
+    head = F.regexp_extract(t, r"^(?:[^.!?。]*+[.!?。]++){0,2}[^.!?。]*+", 0)
+    both = lambda opening, decline: head.rlike(opening) & t.rlike(decline)
+    says = both(OPENING_KO, DECLINE_KO) | both(OPENING_EN, DECLINE_EN) | (both(OPENING_CJK, DECLINE_CJK) & ~t.rlike("[가-힣]"))
+    return says, (F.length(t) <= REFUSAL_LENGTH) & (F.length(content) <= REFUSAL_LENGTH + 100)
 
 
 def with_exemption(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with whether its answer is empty or a refusal, and so can't be cut."""
+    """df with whether its answer is empty or a short refusal, and so can't be cut."""
     x = with_content(df, text, "_content")
     x = T.pinned(x, "_x", letters(F.col("_content")))
-    return x.withColumn(name, is_empty(F.col(text), F.col("_x")) | is_refusal(F.col("_content"))).drop("_content", "_x")
+    says, short = declines(F.col("_content"))
+    return x.withColumn(name, is_empty(F.col(text), F.col("_x")) | (says & short)).drop("_content", "_x")
 
 
 SCRIPTS = {"hangul": r"[가-힣ᄀ-ᇿ㄰-㆏]", "latin": r"[A-Za-zÀ-ɏ]", "kana": r"[぀-ヿ]", "han": r"[一-鿿㐀-䶿]", "cyrillic": r"[Ѐ-ӿ]", "arabic": r"[؀-ۿ]", "thai": r"[฀-๿]", "devanagari": r"[ऀ-ॿ]"}
@@ -88,31 +100,78 @@ def language(folded: Column) -> Column:
     return F.when(folded == "", None).when(n["hangul"] * 2 >= F.length(folded), "ko").when(top["w"] > 0, top["k"])
 
 
-def copied_share(answer: Column, prompt: Column) -> Column:
-    """Share of the distinct runs of COPY_GRAM letters of one folded text that another has, too."""
-    grams = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{COPY_GRAM}}}))"), F.lit(1)))
-    return F.size(F.array_intersect(grams(answer), grams(prompt))) / F.greatest(F.size(grams(answer)), F.lit(1))
+def gram_shares(answers: list[str | None], prompts: list[str | None]) -> np.ndarray:
+    """Share of the distinct runs of COPY_GRAM letters of each folded answer that its prompt has, too."""
+    n = len(answers)
+    codes, offsets = K.pack([*answers, *prompts])
+    out = np.zeros(n)
+    for a, b in K.blocks(offsets[: n + 1]):
+        part = np.r_[np.arange(a, b), np.arange(n + a, n + b)]
+        size = np.diff(offsets)[part]
+        c = np.concatenate([codes[offsets[a] : offsets[b]], codes[offsets[n + a] : offsets[n + b]]])
+        o = np.r_[0, np.cumsum(size)]
+        grams = K.windows_hash(c, COPY_GRAM).view(np.int64)
+        owner = K.owners(o, np.arange(len(grams)))
+        inside = np.arange(len(grams)) + COPY_GRAM <= o[owner + 1]
+        owner, grams = owner[inside], grams[inside]
+        order = np.lexsort((grams, owner))
+        owner, grams = owner[order], grams[order]
+        first = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])] if len(owner) else np.zeros(0, bool)
+        owner, grams = owner[first], grams[first]
+        k = b - a
+        mine = np.bincount(owner, minlength=2 * k)[:k]
+        out[a:b] = K.common(owner, grams, 2 * k, np.arange(k), np.arange(k) + k) / np.maximum(mine, 1)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def copied_share(answer: pd.Series, prompt: pd.Series) -> pd.Series:
+    return pd.Series(gram_shares(answer.tolist(), prompt.tolist()))
+
+
+def copies(answer: Column, prompt: Column, share: Column) -> Column:
+    """True for a folded answer that repeats its folded prompt, whole or its opening sentences. share: copied_share()."""
+    n = F.length(answer)
+    return F.when(n >= SHORT, share >= COPY).otherwise((n >= LEAST_COPY) & prompt.startswith(answer))
 
 
-def copies(answer: Column, prompt: Column) -> Column:
-    """True for a folded answer that repeats its folded prompt, whole or its opening sentences.
+def shared_beginning(x: str, y: str) -> int:
+    """How many leading characters two texts have in common."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
-    The share is taken where a third of PROBES pieces, spread evenly over the answer, stand in the prompt. A
-    rewrite keeps names and figures, a sixth of its pieces; of an answer at the share's bound, two thirds
-    stand there."""
-    n = F.length(answer)
-    met = F.lit(0)
-    for part in range(PROBES):
-        met = met + F.contains(prompt, F.substring(answer, (n * part / PROBES).cast("int") + 1, F.lit(COPY_GRAM))).cast("int")
-    return F.when((n >= COPY_LEAST) & (met * 3 >= PROBES), copied_share(answer, prompt) >= COPY).otherwise(False)
+
+MARK = re.compile(T.MARKS)
+
+
+def is_shortened(x: str, y: str) -> bool:
+    """x is a beginning of y that stops before y's sentence does: what x has beyond their common prefix is at most
+    BEYOND characters, or a mark for the rest, and y goes on further."""
+    n = shared_beginning(x, y)
+    beyond = x[n:].strip()
+    if not n or len(y) - n <= len(x) - n or not (len(beyond) <= BEYOND or MARK.fullmatch(beyond)):
+        return False
+    before = x[:n].rstrip()
+    # a stop in either text at this place ends a sentence
+    return bool(before) and before[-1] not in ".!?。”\"’'…" and not y[n:].lstrip()[:1] in tuple(".!?。")
 
 
 def shortened_versions(df: DataFrame, text_col: str) -> DataFrame:
-    """(text_hash): xxhash64 of texts that are a proper beginning of another one.
+    """(text_hash): xxhash64 of texts that are shortened versions of another one.
 
-    Texts are sorted over the whole cluster; a text begins another one exactly if it begins its next
-    different neighbour. Each range is scanned once, and the seams between ranges, one row each, are closed
-    after. Copies are dropped within each task before the sort, so none of them weighs on a range."""
+    Texts are sorted over the whole cluster, by ranges of their first 64 characters, and each is compared with the
+    neighbours on both sides by the length of their common prefix. Each range is scanned once, and the seams between
+    ranges, one row each, are closed after. Copies are dropped within each task before the sort, so none of them
+    weighs on a range."""
     one = "text string"
 
     def distinct_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +185,7 @@ def shortened_versions(df: DataFrame, text_col: str) -> DataFrame:
             yield pa.record_batch([b["text"].filter(pa.array(keep, pa.bool_()))], names=["text"])
 
     texts = df.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").mapInArrow(distinct_here, one)
-    ranged = texts.repartitionByRange("text").sortWithinPartitions("text")
+    ranged = texts.repartitionByRange(F.substring("text", 1, 64)).sortWithinPartitions("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = first = None
@@ -137,7 +196,8 @@ def shortened_versions(df: DataFrame, text_col: str) -> DataFrame:
             t = b["text"].to_pylist()
             first = t[0] if first is None else first
             both = t if held is None else [held, *t]
-            short = [x for x, y in zip(both, both[1:]) if x != y and y.startswith(x)]
+            short = [x for x, y in zip(both, both[1:]) if x != y and is_shortened(x, y)]
+            short += [y for x, y in zip(both, both[1:]) if x != y and is_shortened(y, x)]
             held = both[-1]
             yield pa.record_batch([pa.nulls(len(short), pa.int32()), pa.array(short, pa.string()), pa.nulls(len(short), pa.string())], names=names)
         if held is not None:
@@ -145,36 +205,53 @@ def shortened_versions(df: DataFrame, text_col: str) -> DataFrame:
 
     rows = written(ranged.mapInArrow(run, "seam int, text string, last string"), "shortened")
     # a seam is one row for each range; the next range's first text follows this one's last
-    following = F.lead("text").over(Window.orderBy("text"))
-    closed = rows.where("seam = 1").withColumn("next", following).where((F.col("next") != F.col("last")) & F.col("next").startswith(F.col("last"))).select(F.col("last").alias("text"))
-    return rows.where("seam is null").select("text").unionByName(closed).select(F.xxhash64("text").alias("text_hash")).distinct()
+    seams = rows.where("seam = 1").select(F.col("last"), F.lead("text").over(Window.orderBy("text")).alias("next")).where("next is not null and next <> last")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = list(zip(b["last"].to_pylist(), b["next"].to_pylist()))
+            yield pa.record_batch([pa.array([x for x, y in both if is_shortened(x, y)] + [y for x, y in both if is_shortened(y, x)], pa.string())], names=["text"])
+
+    return rows.where("seam is null").select("text").unionByName(seams.mapInArrow(close, one)).select(F.xxhash64("text").alias("text_hash")).distinct()
 
 
-def length_spikes(df: DataFrame, length_col: str, times: float = 6.0, around: int = 12, least: int = 10) -> DataFrame:
-    """(length): lengths in code points that far more texts have than their neighbours, as a limit leaves.
-    The window runs over a row for each length."""
+def length_spikes(df: DataFrame, length_col: str, times: float = 6.0, around: int = 12) -> DataFrame:
+    """(length): lengths in code points that more texts have than their surroundings explain, as a limit leaves: `times`
+    deviations above the mean of the `around` lengths on both sides. The window runs over a row for each length."""
     by = df.select(F.col(length_col).alias("length")).where("length > 0").groupBy("length").count()
     near = Window.orderBy("length").rangeBetween(-around, around)
     usual = (F.sum("count").over(near) - F.col("count")) / (2 * around)
-    return by.withColumn("usual", usual).where((F.col("count") >= least) & (F.col("count") > times * F.greatest("usual", F.lit(0.5)))).select("length")
+    return by.withColumn("usual", usual).where(F.col("count") > F.col("usual") + times * F.sqrt(F.greatest("usual", F.lit(0.5)))).select("length")
 
 
-def defective_answers(df: DataFrame, keys: list[str], answer: str = "answer", prompt: str = "prompt") -> DataFrame:
-    """keys + (defect): one row for each defective answer, with exactly one defect.
+def evidenced_answers(df: DataFrame, keys: list[str], answer: str = "answer", prompt: str = "prompt") -> DataFrame:
+    """keys + (defect, evidence): one row for each defective answer, with exactly one defect. evidence, of truncated
+    answers only: shortened (a neighbour in the order of texts goes on), limit (a length that a limit leaves) or
+    context (its last words stand inside texts, as in problem 1), the first that holds.
 
-    Order of rules: empty, refusal, other_language, copy, truncated. An end that its context leaves doubtful
-    counts as cut if the answer begins a longer one, or has the length that a limit leaves. A null answer
-    is empty. A null or blank prompt can be neither copied nor differ in language. Repeated rows each
-    get their own. An empty table gives no rows. Columns besides keys, answer and prompt are ignored."""
+    Order of rules: empty, refusal, other_language, copy, truncated. Neighbours and lengths decide unless the last words
+    are known to finish texts. A null answer is empty. A null or blank prompt can be neither copied nor differ in
+    language. Repeated rows each get their own. An empty table gives no rows. Columns besides keys, answer and prompt
+    are ignored."""
     base = df.select(*keys, F.col(answer).alias("_answer"), F.col(prompt).alias("_prompt"))
     x = with_content(base, "_answer", "_content")
-    x = T.pinned(T.pinned(x, "_x", letters(F.col("_content"))), "_y", letters(F.col("_prompt")))
+    x = T.pinned(T.pinned(x, "_x", letters(F.col("_content"))), "_y", letters(F.coalesce("_prompt", F.lit(""))))
     x = T.pinned(T.pinned(x, "_la", language(F.col("_x"))), "_lp", language(F.col("_y")))
-    rule = F.when(is_empty(F.col("_answer"), F.col("_x")), "empty").when(is_refusal(F.col("_content")), "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y")), F.lit(False)), "copy")
+    x = x.withColumn("_share", copied_share(F.coalesce("_x", F.lit("")), "_y"))
+    says, short = declines(F.col("_content"))
+    refusal = says & (short | ((F.col("_y") != "") & (F.col("_share") < REFUSAL_SHARE)))
+    rule = F.when(is_empty(F.col("_answer"), F.col("_x")), "empty").when(refusal, "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y"), F.col("_share")), F.lit(False)), "copy")
     x = T.pinned(x, "_rule", rule).select(*keys, "_answer", "_rule", F.length("_answer").alias("_length"), F.xxhash64("_answer").alias("_hash"))
-    judged = written(T.judged(T.ends(x, "_answer"), written(T.counted(base.where("_answer is not null"), "_answer"), "contexts")).select(*keys, "_rule", "_length", "_hash", "cut", "doubtful"), "judged")
+    judged = written(T.judged(T.ends(x, "_answer"), written(T.counted(base.where("_answer is not null"), "_answer"), "contexts")).select(*keys, "_rule", "_length", "_hash", "cut", "share", F.coalesce(F.col("word").rlike(r"[.!?。]$"), F.lit(False)).alias("_stop")), "judged")
     short = shortened_versions(base, "_answer").withColumnRenamed("text_hash", "_hash").withColumn("_short", F.lit(True))
     spikes = length_spikes(judged, "_length").withColumnRenamed("length", "_length").withColumn("_spike", F.lit(True))
-    open_end = judged.where("_rule is null and doubtful").join(short, "_hash", "left").join(spikes, "_length", "left")
-    cut = judged.where("_rule is null and cut").select(*keys).unionByName(open_end.where("_short or _spike").select(*keys))
-    return judged.where("_rule is not null").select(*keys, F.col("_rule").alias("defect")).unionByName(cut.select(*keys, F.lit("truncated").alias("defect")))
+    left = judged.where("_rule is null").join(short, "_hash", "left").join(F.broadcast(spikes), "_length", "left")  # at most a row for each length
+    open_end = F.col("cut") | (~F.col("_stop") & (F.coalesce("share", F.lit(0.0)) < FIRM_SHARE))
+    evidence = F.when(F.col("_short") & open_end, "shortened").when(F.col("_spike") & open_end, "limit").when(F.col("cut"), "context")
+    cut = left.withColumn("evidence", evidence).where("evidence is not null").select(*keys, F.lit("truncated").alias("defect"), "evidence")
+    return judged.where("_rule is not null").select(*keys, F.col("_rule").alias("defect"), F.lit(None).cast("string").alias("evidence")).unionByName(cut)
+
+
+def defective_answers(df: DataFrame, keys: list[str], answer: str = "answer", prompt: str = "prompt") -> DataFrame:
+    """keys + (defect): evidenced_answers() without the evidence."""
+    return evidenced_answers(df, keys, answer, prompt).drop("evidence")

@@ -28,12 +28,23 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(_p1_rows(spark, sf_dir), ["tbl", "source", "round"])
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, source, answer, prompt) of both tables."""
     rows = table(spark, sf_dir, "pairs")
-    pairs = rows.select(F.lit("pairs").alias("tbl"), F.col("pair_id").alias("row_id"), F.col("ai_text").alias("answer"), F.col("human_text").alias("prompt"))
+    pairs = rows.select(F.lit("pairs").alias("tbl"), F.col("pair_id").alias("row_id"), "source", F.col("ai_text").alias("answer"), F.col("human_text").alias("prompt"))
     asked = rows.select("pair_id", F.col("ai_text").alias("prompt"))
-    outputs = table(spark, sf_dir, "gen_test").select("gen_id", "pair_id", F.col("text").alias("answer")).join(asked, "pair_id", "left").select(F.lit("gen_test").alias("tbl"), F.col("gen_id").alias("row_id"), "answer", "prompt")
-    return defects.defective_answers(pairs.unionByName(outputs), ["tbl", "row_id"])
+    outputs = table(spark, sf_dir, "gen_test").select("gen_id", "pair_id", "source", F.col("text").alias("answer")).join(asked, "pair_id", "left").select(F.lit("gen_test").alias("tbl"), F.col("gen_id").alias("row_id"), "source", "answer", "prompt")
+    return pairs.unionByName(outputs)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defective_answers(_p2_rows(spark, sf_dir), ["tbl", "row_id"])
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers of each table, by defect and, for truncated ones, by what shows it."""
+    rows = defects.evidenced_answers(_p2_rows(spark, sf_dir), ["tbl", "row_id"])
+    return rows.groupBy("tbl", "defect", "evidence").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,

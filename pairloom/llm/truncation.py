@@ -18,13 +18,15 @@ from pairloom.llm.store import written
 TERMINAL_SHARE = 0.010
 #: Up to here an end is doubtful.
 DOUBTFUL_SHARE = 0.020
-#: Occurrences inside that a trigram needs to be looked at.
-LEAST = 20
+#: Occurrences inside from which a trigram tells more than its last word, and a word with a full stop is known to end
+#: sentences. Rarer trigrams lean on the word alone: two cuts at one place would make them look terminal.
+KNOWN = 20
 #: A shorter context weighs as much as so many occurrences of the longer one.
 PRIOR = 100.0
-#: Longer words, which no script with spaces has, are known by their last characters.
-LONGEST_WORD = 24
-#: Characters at a text's end that hold its last words; only a final word of hundreds of characters needs more.
+#: A word's beginnings up to this length are counted, since all beginnings of one grow with its square. Words
+#: themselves are never shortened.
+LONGEST_BEGINNING = 100
+#: Characters at a text's end that are looked at first. Where they don't hold four words, the whole text is.
 TAIL = 400
 # Marks put in place of a text's rest.
 MARKS = r"(?:[(\[<【〔]\s*(?:이하\s*)?(?:생략|중략|하략|계속|더보기|더 보기|전문 보기|truncated|continued|more|\.\.\.|…)\s*[)\]>】〕]|\.{2,}|…+)"
@@ -47,8 +49,9 @@ def trimmed(text: Column) -> Column:
 
 
 def tail(text: Column) -> Column:
-    """The end of a text, where marks, open quotations and its last words are looked for."""
-    return F.right(text, F.lit(TAIL))
+    """The end of a text, with its last three words whole, where marks and its last words are looked for."""
+    t = F.right(text, F.lit(TAIL))
+    return F.when(t.rlike(r"(?U)\S\s+\S+\s+\S+\s+\S+\s*$"), t).otherwise(text)
 
 
 def end_body(end: Column) -> Column:
@@ -60,7 +63,7 @@ def end_body(end: Column) -> Column:
 
 def body(text: Column) -> Column:
     """The whole text, its end as in end_body."""
-    return F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - TAIL, F.lit(0))), end_body(tail(text)))
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail(text))), end_body(tail(text)))
 
 
 def pinned(df: DataFrame, name: str, col: Column) -> DataFrame:
@@ -77,8 +80,7 @@ def with_words(df: DataFrame, text: str, name: str = "w") -> DataFrame:
     x = pinned(x, text, F.replace(F.regexp_replace(t, r"[0-9０-９]+(?:[.,][0-9０-９]+)*", "0"), F.lit("\n"), F.lit(" ")))
     odd = r"[一-鿿぀-ヿ\t\r\f\x0b\u0085\u00a0\u2000-\u200a\u2028-\u3000]"
     x = pinned(x, text, F.when(t.rlike(odd), F.regexp_replace(t, r"(?U)([一-鿿぀-ヿ。、，])|\s+", " $1 ")).otherwise(t))
-    long = lambda w: F.when(F.length(w) > LONGEST_WORD, F.right(w, F.lit(LONGEST_WORD))).otherwise(w)
-    return pinned(x, name, F.transform(F.filter(F.split(t, " "), lambda w: w != ""), long)).drop(text)
+    return pinned(x, name, F.filter(F.split(t, " "), lambda w: w != "")).drop(text)
 
 
 def trigram(w: Column, i: Column) -> Column:
@@ -94,8 +96,9 @@ def cut_character(text: Column) -> Column:
 
 
 def open_quotation(text: Column) -> Column:
-    """The last quotation isn't closed, and no sentence ends within it."""
-    return text.rlike(r"“(?:[^”.!?。]|[.!?](?!\s)){0,200}$")
+    """The last quotation isn't closed, however long ago it was opened, and no sentence ends within it."""
+    last = F.substring_index(text, "“", -1)
+    return F.contains(text, F.lit("“")) & ~F.contains(last, F.lit("”")) & ~last.rlike(r"。|[.!?](?:\s|$)")
 
 
 def counted(texts: DataFrame, text_col: str) -> DataFrame:
@@ -113,7 +116,7 @@ def beginnings(vocabulary: DataFrame) -> DataFrame:
     """(context, longer): how often, inside texts, a longer word begins so. Stops after a word don't make it longer."""
     core = F.regexp_replace("context", r"[.!?~…,\"”’。]+$", "")
     one = vocabulary.where("inside > 0").select(core.alias("w"), "inside").groupBy("w").agg(F.sum("inside").alias("inside")).where(F.length("w") > 1)
-    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), F.lit(1), i)))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(LONGEST_BEGINNING))), lambda i: F.substring(F.col("w"), F.lit(1), i)))
     return one.select(cut.alias("context"), "inside").groupBy("context").agg(F.sum("inside").alias("longer"))
 
 
@@ -135,10 +138,12 @@ def verdicts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ends(rows: DataFrame, text_col: str) -> DataFrame:
     """rows without the text, but with its final contexts and what can be seen at the end itself."""
-    x = pinned(rows, "_t", tail(F.col(text_col))).drop(text_col)
+    whole = trimmed(F.col(text_col))
+    x = pinned(rows, "_open", F.when(F.contains(F.col(text_col), F.lit("“")), open_quotation(end_body(whole))).otherwise(F.lit(False)))
+    x = pinned(x, "_t", tail(F.col(text_col))).drop(text_col)
     x = pinned(x, "_t", composed(F.col("_t")))
     x = pinned(x.withColumn("trails", trimmed(F.col("_t")).rlike(r"(?:\.{2,}|…)$")), "_t", end_body(F.col("_t")))
-    x = with_words(x.withColumn("hard", cut_character(F.col("_t")) | open_quotation(F.col("_t"))), "_t", "_w")
+    x = with_words(x.withColumn("hard", cut_character(F.col("_t")) | F.col("_open")).drop("_open"), "_t", "_w")
     return x.withColumns({"word": F.get("_w", F.size("_w") - 1), "trigram": trigram(F.col("_w"), F.size("_w") - 1)}).drop("_w")
 
 
@@ -146,10 +151,10 @@ def judged(ended: DataFrame, counts: DataFrame) -> DataFrame:
     """ended + (share, cut, doubtful)."""
     word, three = verdicts(counts)
     # an ellipsis stands in a stop's place: a word that is known to end sentences ends this one
-    stopped = word.where(F.col("word").endswith(".") & (F.col("word_in") >= LEAST)).select(F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(True).alias("trails"), F.col("word_share").alias("stop_share"))
+    stopped = word.where(F.col("word").endswith(".") & (F.col("word_in") >= KNOWN)).select(F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(True).alias("trails"), F.col("word_share").alias("stop_share"))
     x = ended.join(word.drop("word_in"), "word", "left").join(three, "trigram", "left").join(stopped, ["word", "trails"], "left")
     smooth = (F.col("ending") - 1 + PRIOR * F.col("word_share")) / (F.col("inside") + F.col("ending") - 1 + PRIOR)
-    x = x.withColumn("share", F.coalesce("stop_share", F.when(F.col("inside") >= LEAST, smooth).otherwise(F.col("word_share"))))
+    x = x.withColumn("share", F.coalesce("stop_share", F.when(F.col("inside") >= KNOWN, smooth).otherwise(F.col("word_share"))))
     cut = F.col("hard") | (F.col("share") < TERMINAL_SHARE)
     return x.withColumns({"cut": F.coalesce(cut, F.lit(False)), "doubtful": F.coalesce(~cut & (F.col("share") < DOUBTFUL_SHARE), F.lit(False))}).drop("inside", "ending", "word_share", "stop_share", "trails")
 

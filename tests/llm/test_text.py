@@ -70,6 +70,46 @@ def test_defects(spark):
     assert sum(i < k for i in got) <= 6
 
 
+def test_no_caps(spark):
+    """Long quotations, refusals, words and short copies are seen whole."""
+    rng = random.Random(8)
+    rows = [(i, text(rng, 8), text(rng, 8), None) for i in range(400)]
+    long = " ".join(f"그리고 나무{i}와 바다{i}" for i in range(120))
+    refusal = "죄송합니다. 이 글은 다시 써 드릴 수 없습니다. " + " ".join(f"규정 {chr(0xAC00 + i)}항을 살펴 주시기 바랍니다." for i in range(60))
+    prompt = "나무 바다 하늘 도시 학교 시장 공원 " * 3
+    cases = [(refusal, text(rng, 8), "refusal"), ("나무 바다 하늘 도시 학교 시장", prompt + text(rng, 3), "copy")]
+    rows += [(1000 + n, a, p, d) for n, (a, p, d) in enumerate(cases)]
+    got = {r.id: r.defect for r in defects.defective_answers(spark.createDataFrame([r[:3] for r in rows], "id int, answer string, prompt string"), ["id"]).collect()}
+    assert len(refusal) > 600 and [got.get(1000 + n) for n in range(2)] == ["refusal", "copy"]
+    whole = [(i, a) for i, a, *_ in rows[:400]] + [(2000, text(rng, 3) + " 그는 “" + long), (2001, text(rng, 3) + " " + "가" * 60 + "했다."), (2002, "가" * 200_000)]
+    cut = {r.id: r.cut for r in truncation.truncated_rows(spark.createDataFrame(whole, "id int, t string"), ["id"], "t").collect()}
+    assert len(long) > 1000 and cut[2000] and not cut[2001] and 2002 in cut
+
+
+def test_neighbours_and_limits_decide(spark):
+    rng = random.Random(21)
+    full = [text(rng, 8) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(full)]
+    stop = full[0].index(". ") + 1
+    rows += [(900, full[1][: full[1].index("에서") + 1]), (901, full[2][: full[2].index("에서") + 1] + " (이하 생략)"), (902, full[0][:stop])]
+    rows += [(1000 + i, (text(rng, 12) + "나무")[:300].rstrip(". ").ljust(300, "가")) for i in range(30)]
+    df = spark.createDataFrame([(i, t, text(rng, 8)) for i, t in rows], "id int, answer string, prompt string")
+    got = {r.id: (r.defect, r.evidence) for r in defects.evidenced_answers(df, ["id"]).collect()}
+    assert got[900] == got[901] == ("truncated", "shortened") and 902 not in got
+    assert sum(got.get(1000 + i) == ("truncated", "limit") for i in range(30)) >= 28
+
+
+def test_shared_beginning():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = "".join(rng.choice("가나") for _ in range(rng.randrange(8)))
+        b = "".join(rng.choice("가나") for _ in range(rng.randrange(8)))
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        assert defects.shared_beginning(a, b) == n
+
+
 def test_no_answers(spark):
     assert defects.defective_answers(spark.createDataFrame([], "id int, answer string, prompt string"), ["id"]).count() == 0
 
@@ -79,7 +119,7 @@ def test_shortened_versions(spark):
     full = [text(rng, 4) for _ in range(80)]
     short = [t[: rng.randrange(20, len(t) - 1)] for t in full[:30]]
     df = spark.createDataFrame([(t,) for t in full + short + full[:10] + [None, ""]], "t string").repartition(5)
-    brute = {s for s in set(full + short) if any(o != s and o.startswith(s) for o in full)}
+    brute = {s for s in set(full + short) if any(o != s and o.startswith(s) and s.rstrip()[-1] != "." and not o[len(s) :].lstrip().startswith(".") for o in full)}
     hashes = {r.h for r in spark.createDataFrame([(s,) for s in brute], "t string").select(F.xxhash64("t").alias("h")).collect()}
     assert {r.text_hash for r in defects.shortened_versions(df, "t").collect()} == hashes
 
