@@ -22,8 +22,9 @@ from pairloom.llm.store import written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
-#: Ranks are counted within so many slices of a size, so that no size is ordered in one task.
-SLICES = 64
+#: Ranks are counted within slices of a size of about so many rows, and SLICES at least, so that no size is ordered in
+#: one task.
+SLICES, SLICE_ROWS = 64, 100_000
 
 
 def token_counts(texts: DataFrame, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -104,10 +105,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def ranked_by_size(pieces: DataFrame, keys: list[str]) -> DataFrame:
+def ranked_by_size(pieces: DataFrame, keys: list[str], slices: int) -> DataFrame:
     """pieces + rank: a number from 0 within each size. Slices of a size are numbered apart and shifted by the
     slices before them, so a size that a third of all pieces have is no task of its own."""
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES)).cast("int"))
+    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
     per = sliced.groupBy("size", "slice").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = per.select("size", "slice", before.alias("shift"))
@@ -133,14 +134,15 @@ def packed(sized: DataFrame, capacity: int, container: str, id_col: str = "doc_i
     full = F.floor(F.col("n") / capacity).cast("int")
     rest = docs.select("id", "row", full.alias("piece"), (F.col("n") % capacity).alias("size")).where("size > 0")
     whole = docs.where(full > 0).select("id", "row", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    slices = max(SLICES, int((docs.agg(F.sum(F.ceil(F.col("n") / capacity)).alias("k")).first()["k"] or 0) // SLICE_ROWS))
     histogram = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}  # at most `capacity` rows
     runs = plan(histogram, capacity)
     containers = max((c + n for _, _, c, n in runs), default=0)
     table = spark.createDataFrame([(s, a, a + n, c) for s, a, c, n in runs], "size int, lo bigint, hi bigint, first bigint")
     # runs of one size are disjoint, and each rank lies in one; their number is bounded by the plan, not by the data
-    placed = ranked_by_size(rest, ["row"]).join(F.broadcast(table), ["size"]).where("rank >= lo and rank < hi")
+    placed = ranked_by_size(rest, ["row"], slices).join(F.broadcast(table), ["size"]).where("rank >= lo and rank < hi")
     out = placed.select("id", "piece", F.col("size").alias("tokens"), (F.col("first") + F.col("rank") - F.col("lo")).alias("bin"))
-    numbered = ranked_by_size(whole.withColumn("size", F.lit(capacity)), ["row", "piece"])
+    numbered = ranked_by_size(whole.withColumn("size", F.lit(capacity)), ["row", "piece"], slices)
     out = out.unionByName(numbered.select("id", "piece", F.col("size").alias("tokens"), (F.col("rank") + containers).alias("bin")))
     nothing = docs.where("n <= 0").select("id", F.lit(0).alias("piece"), F.lit(0).alias("tokens"), F.lit(0).cast("bigint").alias("bin"))
     return out.unionByName(nothing).select(F.lit(container).alias("container"), F.lit(capacity).alias("capacity_tokens"), "id", "piece", "tokens", "bin")

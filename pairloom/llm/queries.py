@@ -70,11 +70,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each text occurs word for word in other records."""
-    pairs = spans.record_texts(table(spark, sf_dir, "pairs"), "pair_id * 2", {"human_text": 0, "ai_text": 1})
-    outputs = spans.record_texts(table(spark, sf_dir, "gen_test"), "gen_id * 2 + 1", {"text": 2})
+    pairs, outputs = table(spark, sf_dir, "pairs"), table(spark, sf_dir, "gen_test")
+    batches = [spans.record_texts(pairs, "pair_id * 2", {"human_text": 0}), spans.record_texts(pairs, "pair_id * 2", {"ai_text": 1})]
+    # outputs as they came, round by round; an unknown round comes last
+    came = F.coalesce("round", F.lit(3))
+    batches += [spans.record_texts(outputs.where(c), "gen_id * 2 + 1", {"text": 2}) for c in (came <= 0, came == 1, came == 2, came >= 3)]
     names = F.element_at(F.array(*map(F.lit, ("human_text", "ai_text", "text"))), F.col("field") + 1)
     tbl = F.when(F.col("field") == 2, "gen_test").otherwise("pairs")
-    found = spans.shared_text([pairs, outputs])
+    found = spans.shared_text(batches)
     return found.select(tbl.alias("tbl"), F.shiftright("record", 1).alias("row_id"), names.alias("field"), "size", "shared", "share")
 
 
@@ -94,11 +97,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, sf_dir))
 
 
-def _p7_draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _p7_draw(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
     docs = table(spark, sf_dir, "documents").join(F.broadcast(targets.select("source").distinct()), "source")  # as many rows as targets
     sized = packing.token_counts(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text"), "text")
-    return mixing.drawn(sized, targets), targets
+    return mixing.drawn(sized, targets, total_tokens=total), targets
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +114,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(*_p7_draw(spark, sf_dir))
 
 
+def p7_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a draw as large as the listed sources together: scarce ones are repeated up to their limit."""
+    return mixing.share_report(*_p7_draw(spark, sf_dir, "all"))
+
+
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of each document."""
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_docs"))
@@ -135,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_full_shares": p7_full_shares,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -60,7 +61,7 @@ class Words:
         keep = np.array([w != "" for w in unique], bool)[index] if len(index) else np.zeros(0, bool)
         owner, index = owner[keep], index[keep]
         stems = [stem(w) for w in unique]
-        return Words(owner, index, unique, np.array([slot(s) for s in stems], np.int64).reshape(-1), len(plain))
+        return Words(owner, index, unique, slots(stems), len(plain))
 
 
 def stem(word: str) -> str:
@@ -73,11 +74,8 @@ def stem(word: str) -> str:
     return word
 
 
-def slot(s: str) -> int:
-    h = 14695981039346656037
-    for b in s.encode():
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % SLOTS
+def slots(stems: list[str]) -> np.ndarray:
+    return (pd.util.hash_array(np.array(stems, object), categorize=False) % SLOTS).astype(np.int64) if stems else np.zeros(0, np.int64)
 
 
 def frequencies(documents: DataFrame, text_col: str) -> np.ndarray:
@@ -213,7 +211,7 @@ def graded_texts(documents: DataFrame, graded: DataFrame, id_col: str, text_col:
     """Texts, and for each rating its text and level. At most `most` documents, chosen by a hash of their id."""
     marks = graded.where(f"level between 1 and {LEVELS} and doc_id is not null").select(F.col("doc_id").alias(id_col), F.col("level").cast("int").alias("level"))
     ids = marks.select(id_col).distinct().orderBy(F.xxhash64(id_col)).limit(most)
-    rows = documents.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(ids), id_col).join(F.broadcast(marks), id_col).select(id_col, text_col, "level").toArrow()
+    rows = documents.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(ids), id_col).join(marks.join(F.broadcast(ids), id_col, "left_semi"), id_col).select(id_col, text_col, "level").toArrow()
     ids_here = rows[id_col].to_pylist()
     place = {x: i for i, x in enumerate(dict.fromkeys(sorted(ids_here)))}
     texts = [""] * len(place)

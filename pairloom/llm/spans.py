@@ -9,6 +9,7 @@ shares a fingerprint is then verified character by character.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairloom.llm import chunks as C
 from pairloom.llm import kernels as K
-from pairloom.llm.store import shared_dir, written
+from pairloom.llm.store import removed, shared_dir, written
 
 SPAN, WINDOW = 80, 40
 #: Runs before compaction.
@@ -46,22 +48,60 @@ def occurrences(texts: DataFrame, span: int, window: int) -> DataFrame:
     return texts.mapInArrow(run, OCCURRENCES)
 
 
+RUN = "fp bigint, lo bigint, hi bigint, n bigint"
+
+
 class SpanIndex:
-    """An index over batches of texts (record bigint, field int, text string)."""
+    """An index over batches of texts (record bigint, field int, text string), kept in a folder: another session can
+    open it there and go on. Runs that compaction has merged are deleted."""
 
-    def __init__(self, spark: SparkSession, span: int = SPAN, window: int = WINDOW, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, span: int = SPAN, window: int = WINDOW, buckets: int | None = None, path: str | None = None):
         self.spark, self.span, self.window = spark, span, window
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[DataFrame] = []
-        self.postings: list[DataFrame] = []
-        self.shared: list[DataFrame] = []
+        self.path = path or f"{shared_dir(spark).rstrip('/')}/pairloom/spans-{uuid.uuid4().hex}"
+        self.parts: dict[str, list[str]] = {"runs": [], "postings": [], "met": []}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SpanIndex:
+        """The index of a folder, as its last manifest has it."""
+        last = spark.read.json(f"{path}/manifests/*").orderBy(F.desc("at")).first()
+        out = cls(spark, last["span"], last["window"], last["buckets"], path)
+        out.parts = {k: list(last[k] or []) for k in out.parts}
+        return out
+
+    def _saved(self) -> None:
+        """Writes a manifest; a reader sees the one before or this one."""
+        number = sum(map(len, self.parts.values()))
+        row = [(time.time_ns(), self.span, self.window, self.buckets, *self.parts.values())]
+        schema = "at bigint, span int, window int, buckets int, runs array<string>, postings array<string>, met array<string>"
+        self.spark.createDataFrame(row, schema).coalesce(1).write.json(f"{self.path}/manifests/{number}-{uuid.uuid4().hex}")
+
+    def _part(self, kind: str, rows: DataFrame) -> DataFrame:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{kind}/{name}")
+        self.parts[kind].append(name)
+        return self._read(kind, name, rows.schema)
+
+    def _read(self, kind: str, name: str, schema: StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{name}")
+
+    def _all(self, kind: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{n}" for n in self.parts[kind]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _run(self, rows: DataFrame) -> DataFrame:
         """Rows (fp, lo, hi, n), one for each fp, as a run: bucketed and sorted by fp, never changed."""
-        name = f"pairloom_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark).rstrip('/')}/pairloom/{name}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
-        return self.spark.table(name)
+        name = uuid.uuid4().hex
+        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/runs/{name}").saveAsTable(f"pairloom_run_{name}")
+        self.parts["runs"].append(name)
+        return self.spark.table(f"pairloom_run_{name}")
+
+    def _history(self, name: str) -> DataFrame:
+        """A run by name, made known to this session's catalogue if another session wrote it."""
+        table = f"pairloom_run_{name}"
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"create table {table} ({RUN}) using parquet clustered by (fp) sorted by (fp) into {self.buckets} buckets location '{self.path}/runs/{name}'")
+        return self.spark.table(table)
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
@@ -70,39 +110,39 @@ class SpanIndex:
     def add(self, texts: DataFrame) -> DataFrame:
         """Take in a batch; returns the fingerprints (fp, n) by which one of its records meets another, in the
         batch or in history."""
-        found = written(occurrences(texts, self.span, self.window), "postings")
+        found = self._part("postings", occurrences(texts, self.span, self.window))
+        older = [self._history(n) for n in self.parts["runs"]]
         run = self._run(self._merged(found.select("fp", F.col("record").alias("lo"), F.col("record").alias("hi"), F.lit(1).cast("bigint").alias("n"))))
         state = run.select("fp", "lo", "hi", "n")
         met = state.where("lo <> hi").select("fp", "n")
-        for old in self.runs:
+        for old in older:
             o = old.select("fp", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"))
             both = state.hint("merge").join(o, "fp").where("least(lo, lo2) <> greatest(hi, hi2)")
             met = met.unionByName(both.select("fp", (F.col("n") + F.col("n2")).alias("n")))
-        met = written(met.groupBy("fp").agg(F.max("n").alias("n")), "met")
-        self.postings.append(found)
-        self.runs.append(run)
-        self.shared.append(met)
-        if len(self.runs) > FANOUT:
-            self.compact()
+        met = self._part("met", met.groupBy("fp").agg(F.max("n").alias("n")))
+        old = self.compact() if len(self.parts["runs"]) > FANOUT else []
+        self._saved()
+        for name in old:  # no manifest names them any more
+            self.spark.sql(f"drop table if exists pairloom_run_{name}")
+            removed(self.spark, f"{self.path}/runs/{name}")
         return met
 
-    def compact(self) -> None:
-        rows = self.runs[0]
-        for r in self.runs[1:]:
-            rows = rows.unionByName(r)
-        self.runs = [self._run(self._merged(rows))]
+    def compact(self) -> list[str]:
+        """Merges all runs into one; returns the names of those that it replaces."""
+        old = self.parts["runs"]
+        rows = self._history(old[0])
+        for name in old[1:]:
+            rows = rows.unionByName(self._history(name))
+        self.parts["runs"] = []
+        self._run(self._merged(rows))
+        return old
 
     def marks(self) -> DataFrame:
         """(record, field, pos, fp, hot): the occurrences of all fingerprints that two records share."""
-        fps = self.shared[0]
-        for s in self.shared[1:]:
-            fps = fps.unionByName(s)
-        fps = written(fps.groupBy("fp").agg(F.max("n").alias("n")).select("fp", (F.col("n") > HOT).alias("hot")), "shared")
-        rows = self.postings[0]
-        for p in self.postings[1:]:
-            rows = rows.unionByName(p)
+        fps = self._all("met", "fp bigint, n bigint").groupBy("fp").agg(F.max("n").alias("n"))
+        fps = written(fps.select("fp", (F.col("n") > HOT).alias("hot")), "shared")
         small = fps.count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(fps) if small else fps, "fp").select("record", "field", "pos", "fp", "hot")
+        return self._all("postings", OCCURRENCES).join(F.broadcast(fps) if small else fps, "fp").select("record", "field", "pos", "fp", "hot")
 
 
 def _filter(marks: DataFrame) -> np.ndarray:
@@ -274,7 +314,7 @@ def shared_text(batches: list[DataFrame], span: int = SPAN, window: int = WINDOW
     in another record, and how much of it lies in such runs. batches: tables (record, field, text), taken
     in one after the other.
 
-    Null texts and records take no part; texts shorter than span have no such run. Rows with the same
+    Fingerprints that any batch shares with it or with history are verified once, at the end. Null texts and records take no part; texts shorter than span have no such run. Rows with the same
     record value are one record, and one record's fields don't count against each other. No batch, or
     empty ones, give no rows."""
     index = SpanIndex(batches[0].sparkSession, span, window)

@@ -239,6 +239,24 @@ def test_compaction(spark, rng, monkeypatch):
     assert {(r.record, r.field): r.shared for r in got} == shared_brute(rows, 80)
 
 
+def test_index_goes_on_in_its_folder(spark, rng, tmp_path):
+    rows = [r for r in span_rows(rng) if r[0] is not None and r[2] is not None]
+    df = spark.createDataFrame(rows, "record long, field int, text string")
+    first = spans.SpanIndex(spark, path=str(tmp_path / "index"))
+    for k in range(5):
+        first.add(df.where(f"record % 7 = {k}"))
+    assert len(first.parts["runs"]) == 1 and len(list((tmp_path / "index" / "runs").iterdir())) == 1
+    for name in first.parts["runs"]:
+        spark.sql(f"drop table pairloom_run_{name}")  # as in a session that never saw it
+    again = spans.SpanIndex.open(spark, str(tmp_path / "index"))
+    met = [again.add(df.where(f"record % 7 = {k}")).count() for k in (5, 6)]
+    assert max(met) > 0
+    whole = spans.SpanIndex(spark)
+    whole.add(df)
+    marks = lambda x: {tuple(r) for r in x.marks().drop("hot").collect()}
+    assert marks(again) == marks(whole)
+
+
 def test_no_spans_in_nothing(spark):
     assert spans.shared_text([spark.createDataFrame([], "record long, field int, text string")]).count() == 0
 

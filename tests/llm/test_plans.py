@@ -121,6 +121,19 @@ def test_scarce_source_falls_short(spark):
     assert share["a"].actual_share < 0.45 and share["b"].most_uses == 2
 
 
+def test_whole_documents_and_many_sources(spark):
+    """More sources than bits in a number; each within one document of its quota."""
+    rng = random.Random(6)
+    docs = [(i, f"s{i % 80:02d}", f"h{i}", rng.randrange(20, 400)) for i in range(1600)]
+    targets = spark.createDataFrame([(f"s{k:02d}", 1 / 80, 1 + k % 3) for k in range(80)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, source string, text_hash string, tokens int")
+    report = mixing.share_report(mixing.drawn(df, targets), targets).collect()
+    whole = sum(r.tokens for r in report)
+    assert all(r.n_docs and abs(r.tokens - whole / 80) <= 200 for r in report) and len(report) == 80
+    full = mixing.share_report(mixing.drawn(df, targets, total_tokens="all"), targets).collect()
+    assert max(r.most_uses for r in full) > 1
+
+
 def test_nothing_to_mix(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     empty = spark.createDataFrame([], "doc_id long, source string, text_hash string, tokens int")
