@@ -51,7 +51,7 @@ def trimmed(text: Column) -> Column:
 def tail(text: Column) -> Column:
     """The end of a text, with its last three words whole, where marks and its last words are looked for."""
     t = F.right(text, F.lit(TAIL))
-    return F.when(t.rlike(r"(?U)\S\s+\S+\s+\S+\s+\S+\s*$"), t).otherwise(text)
+    return F.when(t.rlike(r"(?U)^\s*+\S*+\s++\S++\s++\S++\s++\S"), t).otherwise(text)
 
 
 def end_body(end: Column) -> Column:
@@ -98,7 +98,9 @@ def cut_character(text: Column) -> Column:
 def open_quotation(text: Column) -> Column:
     """The last quotation isn't closed, however long ago it was opened, and no sentence ends within it."""
     last = F.substring_index(text, "“", -1)
-    return F.contains(text, F.lit("“")) & ~F.contains(last, F.lit("”")) & ~last.rlike(r"。|[.!?](?:\s|$)")
+    # the end is looked at where the quotation is open, which is rare
+    still = F.contains(text, F.lit("“")) & ~F.contains(last, F.lit("”"))
+    return F.when(still, ~end_body(last).rlike(r"。|[.!?](?:\s|$)")).otherwise(F.lit(False))
 
 
 def counted(texts: DataFrame, text_col: str) -> DataFrame:
@@ -138,8 +140,7 @@ def verdicts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ends(rows: DataFrame, text_col: str) -> DataFrame:
     """rows without the text, but with its final contexts and what can be seen at the end itself."""
-    whole = trimmed(F.col(text_col))
-    x = pinned(rows, "_open", F.when(F.contains(F.col(text_col), F.lit("“")), open_quotation(end_body(whole))).otherwise(F.lit(False)))
+    x = pinned(rows, "_open", open_quotation(F.col(text_col)))
     x = pinned(x, "_t", tail(F.col(text_col))).drop(text_col)
     x = pinned(x, "_t", composed(F.col("_t")))
     x = pinned(x.withColumn("trails", trimmed(F.col("_t")).rlike(r"(?:\.{2,}|…)$")), "_t", end_body(F.col("_t")))
