@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairloom.functions.text import char_grams, squeezed, word_grams, words
+from pairloom.llm import kernels as K
+from pairloom.llm.store import written
+from pairloom.operators import linear as L
 from pairloom.operators.stats import auroc
+from pairloom.plans.session import prepare
 
 
 def _grams(df: DataFrame, text: str) -> DataFrame:
@@ -26,24 +35,79 @@ def text_probe(train: DataFrame, test: DataFrame, text: str, label: str, feature
     return auroc(scored, [], "p", "y")
 
 
+def _is_blank(codes: np.ndarray) -> np.ndarray:
+    """As (?U)\\s does."""
+    table = np.zeros(0x3002, bool)
+    table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+    return table[np.minimum(codes, 0x3001)]
+
+
+def _ranges(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    for a, b in K.blocks(offsets, L.BLOCK):
+        yield from ((i, min(b, i + L.MOST_ROWS)) for i in range(a, b, L.MOST_ROWS))
+
+
+def _gram_blocks(features: int, text: str, label: str, fold: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: blocks of how often each slot's grams of two to four characters occur, blanks left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, offsets = K.pack(batch[text].to_pylist())
+            keep = ~_is_blank(codes)
+            codes, offsets = codes[keep], np.r_[0, np.cumsum(keep)][offsets]
+            kept = batch.drop_columns([text])
+            y, part = batch[label].to_numpy(zero_copy_only=False), batch[fold].to_numpy(zero_copy_only=False)
+            for a, b in _ranges(offsets):
+                c, o = codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                row = np.repeat(np.arange(b - a), np.diff(o))
+                places, slots = [], []
+                for n in (2, 3, 4):
+                    h = (K.windows_hash(c, n) >> np.uint64(32)) * np.uint64(features) >> np.uint64(32)
+                    inside = row[: len(h)] == row[n - 1 : n - 1 + len(h)]
+                    places.append(row[: len(h)][inside])
+                    slots.append(h[inside].astype(np.int64))
+                yield L.block(np.concatenate(places), np.concatenate(slots), y[a:b], part[a:b], kept.slice(a, b - a))
+
+    return run
+
+
+def _tasks(blocks: DataFrame) -> DataFrame:
+    """A task for each core, as each sends its sums in each step, and more only of large tables."""
+    n = blocks.rdd.getNumPartitions()
+    return blocks.coalesce(max(blocks.sparkSession.sparkContext.defaultParallelism, n // 8))
+
+
 def out_of_fold(df: DataFrame, text: str, label: str, fold: str, k: int, features: int = 1 << 18) -> DataFrame:
-    """df's key columns + (p): each row scored by the probe that was fitted without its fold."""
-    out = None
-    for f in range(k):
-        pipe = Pipeline(stages=[HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1e-3, maxIter=20)])
-        model = pipe.fit(_grams(df.where(F.col(fold) != f), text))
-        part = model.transform(_grams(df.where(F.col(fold) == f), text)).withColumn("p", vector_to_array("probability")[1]).drop("_grams", "_tf", "_x", "rawPrediction", "probability", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """df's columns besides the text + (p): each row scored by the probe that was fitted without its fold.
+
+    Grams are counted once, and each pass serves all folds. Weights by rarity are left out, as the fit divides each
+    slot by its deviation."""
+    prepare(df.sparkSession)
+    schema = StructType([*[df.schema[c] for c in df.columns if c != text], StructField("p", DoubleType())])
+    blocks = _tasks(df.mapInArrow(_gram_blocks(features, text, label, fold), L.BLOCK_SCHEMA)).persist()
+    try:
+        return written(L.scored(blocks, L.fitted(blocks, features, k, 1e-3, 20), schema), "scores")
+    finally:
+        blocks.unpersist()
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """df + (fold): rank by the key's hash within each label, modulo k. Ranks are counted in 256 buckets of the hash, so
+    no task sorts all rows."""
+    x = df.withColumn("_h", F.md5(F.col(key).cast("string").cast("binary")))
+    x = x.withColumn("_b", F.substring("_h", 1, 2))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = x.groupBy(label, "_b").count().select(label, "_b", before.alias("_s"))  # at most 256 rows a label
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1 + F.col("_s")
+    return x.join(F.broadcast(shift), [label, "_b"]).withColumn("fold", (rank % k).cast("int")).drop("_h", "_b", "_s")
 
 
 def cross_validated(df: DataFrame, key: str, text: str, label: str, k: int = 5, features: int = 1 << 18) -> DataFrame:
     """(folds, auroc): mean AUC over k folds that hold equal shares of both labels; null with fewer than k rows of one."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)) - 1
-    x = df.withColumn("fold", (place % k).cast("int"))
     least = df.groupBy(label).count().agg(F.min("count").alias("n"), F.count(F.lit(1)).alias("labels")).first()
     if least["labels"] < 2 or least["n"] < k:
         return df.sparkSession.createDataFrame([(k, None)], "folds int, auroc double")
+    x = stratified_folds(df, key, label, k).select("fold", label, text)
     per = auroc(out_of_fold(x, text, label, "fold", k, features), ["fold"], "p", label)
     return per.agg(F.lit(k).alias("folds"), F.avg("auroc").alias("auroc"))
 
