@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, CountVectorizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pairloom.functions.text import char_grams, squeezed, word_grams, words
+from pairloom.functions.text import char_grams, squeezed
 from pairloom.llm import kernels as K
 from pairloom.llm.store import written
 from pairloom.operators import linear as L
@@ -112,12 +112,91 @@ def cross_validated(df: DataFrame, key: str, text: str, label: str, k: int = 5,
     return per.agg(F.lit(k).alias("folds"), F.avg("auroc").alias("auroc"))
 
 
+def _runs_of_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(codes without blanks, offsets of words, [(text, 64-bit hash) of each run of one, two and three words, by its first
+    word; of a run that leaves its text, the text is -1])."""
+    codes, offsets = K.pack(texts)
+    blank = _is_blank(codes)
+    new = ~blank & np.r_[True, blank[:-1]]
+    new[offsets[:-1][offsets[:-1] < len(codes)]] |= ~blank[offsets[:-1][offsets[:-1] < len(codes)]]
+    owner = K.owners(offsets, np.flatnonzero(new))
+    at = np.r_[np.flatnonzero(new[~blank]), (~blank).sum()]
+    codes = codes[~blank]
+    one = K.text_hash(codes, at).view(np.uint64)
+    out, h = [(owner, one.view(np.int64))], one
+    for n in (2, 3):
+        h = K.mix(h[: max(0, len(one) - n + 1)] + K.mix(one[n - 1 :] + np.uint64(n)))
+        out.append((np.where(owner[: len(h)] == owner[n - 1 :], owner[: len(h)], -1), h.view(np.int64)))
+    return codes, at, out
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    for batch in batches:
+        texts = batch[text].to_pylist()
+        for a, b in _ranges(np.r_[0, np.cumsum([len(t or "") for t in texts])]):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
+def _vocabulary(df: DataFrame, text: str, most: int) -> np.ndarray:
+    """Hashes, sorted, of the `most` most frequent runs of one to three words that two texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _batches_of(batches, text):
+            owner, h = (np.concatenate(x) for x in zip(*((o[o >= 0], h[o >= 0]) for o, h in _runs_of_words(texts)[2])))
+            order = np.lexsort((owner, h))
+            owner, h = owner[order], h[order]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            first = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
+            texts_with = np.add.reduceat(first.astype(np.int64), new) if len(new) else new
+            yield pa.record_batch([pa.array(h[new]), pa.array(np.diff(np.r_[new, len(h)])), pa.array(texts_with)], names=["h", "n", "texts"])
+
+    by = df.select(text).mapInArrow(run, "h long, n long, texts long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    top = by.where("texts >= 2").orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return np.sort(top["h"].to_numpy())
+
+
 def telling_words(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 100_000) -> DataFrame:
     """(word, weight): the words, and runs of two and three words, of largest and least weight in a probe over the
-    `vocabulary` most frequent ones."""
-    w = words(F.col(text))
-    x = df.withColumn("_w", F.concat(w, word_grams(w, 2), word_grams(w, 3)))
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="_w", outputCol="_x", vocabSize=vocabulary, minDF=2), LogisticRegression(featuresCol="_x", labelCol=label, regParam=1e-3, maxIter=30)])
-    model = pipe.fit(x)
-    ranked = sorted(zip(model.stages[1].coefficients.toArray().tolist(), model.stages[0].vocabulary))
-    return df.sparkSession.createDataFrame([(w, c) for c, w in ranked[:top] + ranked[-top:]], "word string, weight double")
+    `vocabulary` most frequent ones.
+
+    Runs are told apart by 64-bit hashes; only those that come out are read as strings."""
+    spark = prepare(df.sparkSession)
+    known = _vocabulary(df, text, vocabulary)
+    if not len(known):
+        return spark.createDataFrame([], "word string, weight double")
+    sent = spark.sparkContext.broadcast(known)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _batches_of(batches, text):
+            places, slots = [], []
+            for owner, h in _runs_of_words(texts)[2]:
+                at = np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)
+                hit = (owner >= 0) & (sent.value[at] == h)
+                places.append(owner[hit])
+                slots.append(at[hit])
+            yield L.block(np.concatenate(places), np.concatenate(slots), batch[label].to_numpy(zero_copy_only=False), np.full(len(texts), -1), batch.select([label]))
+
+    blocks = _tasks(df.select(label, text).mapInArrow(counted, L.BLOCK_SCHEMA)).persist()
+    try:
+        weight = L.fitted(blocks, len(known), 1, 1e-3, 30)[0, :-1]
+    finally:
+        blocks.unpersist()
+    ends = np.sort(weight)
+    wanted = (weight <= ends[:top][-1]) | (weight >= ends[-top:][0])
+    named = spark.sparkContext.broadcast(known[wanted])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, texts in _batches_of(batches, text):
+            codes, at, runs = _runs_of_words(texts)
+            for n, (owner, h) in enumerate(runs, 1):
+                hit = np.flatnonzero((owner >= 0) & np.isin(h, named.value))
+                h, first = np.unique(h[hit], return_index=True)
+                new = [(int(x), int(i)) for x, i in zip(h, hit[first]) if int(x) not in seen]
+                seen.update(x for x, _ in new)
+                spell = lambda i: codes[at[i] : at[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.record_batch([pa.array([x for x, _ in new], pa.int64()), pa.array([" ".join(spell(i + j) for j in range(n)) for _, i in new], pa.string())], names=["h", "word"])
+
+    words_of = {r["h"]: r["word"] for r in df.select(text).mapInArrow(spelled, "h long, word string").distinct().collect()}
+    ranked = sorted((float(w), words_of[int(h)]) for w, h in zip(weight[wanted], known[wanted]))
+    return spark.createDataFrame([(w, c) for c, w in ranked[:top] + ranked[-top:]], "word string, weight double")

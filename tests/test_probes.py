@@ -57,3 +57,26 @@ def test_a_probe_runs_few_jobs_however_many_folds(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs[1] <= 1.5 * jobs[0] < 300
+
+
+def test_telling_words_are_runs_of_words_of_both_labels(spark):
+    from collections import Counter
+
+    rows = [(f"하늘\u3000{'참으로 좋은 날' if i % 2 else '또한 이 날'}  {i % 7} 번\n끝", float(i % 2)) for i in range(80)] + [("외톨이 낱말", 1.0), ("", 0.0)]
+    df = spark.createDataFrame(rows, "text string, y double")
+    runs = lambda t: [" ".join(w[i : i + n]) for w in [t.split()] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    total, texts = Counter(g for t, _ in rows for g in runs(t)), Counter(g for t, _ in rows for g in set(runs(t)))
+    assert len(P._vocabulary(df, "text", 10**6)) == sum(n > 1 for n in texts.values())
+    got = P.telling_words(df, "text", "y", 3).collect()
+    assert len(got) == 6 and all("또한" in r.word or "이" in r.word.split() for r in got[:3]) and all("참으로" in r.word or "좋은" in r.word for r in got[3:])
+    assert all(total[r.word] > 1 for r in got) and got[0].weight < 0 < got[-1].weight
+    assert P.telling_words(df.limit(0), "text", "y").count() == 0
+
+
+def test_telling_words_makes_no_strings_of_runs(spark, monkeypatch):
+    """MLlib's vectorizer, which gathers every run of the corpus as a string, isn't used."""
+    import pyspark.ml.feature as feature
+
+    monkeypatch.setattr(feature.CountVectorizer, "_fit", lambda *a: pytest.fail("a vectorizer over strings"))
+    df = spark.createDataFrame([(f"가 나 {'다' if i % 2 else '라'}", float(i % 2)) for i in range(20)], "text string, y double")
+    assert P.telling_words(df, "text", "y", 1).count() == 2
