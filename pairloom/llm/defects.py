@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from pairloom.llm import kernels as K
 from pairloom.llm import truncation as T
@@ -36,6 +37,9 @@ REFUSAL_LENGTH, REFUSAL_SHARE = 400, 0.10
 #: SHORT letters is one if the prompt begins with it.
 COPY = 0.65
 COPY_GRAM, SHORT, LEAST_COPY = 6, 40, 6
+#: Letters of answers and prompts whose runs are sorted at once.
+GRAMS_AT_ONCE = 300_000
+U = np.uint64
 #: What a shortened version may have beyond the beginning that it shares with a longer answer: a letter, or a mark.
 BEYOND = 2
 #: An end that is known to finish texts isn't cut, whatever neighbours and lengths say.
@@ -55,7 +59,8 @@ def with_content(df: DataFrame, text: str, name: str) -> DataFrame:
     x = T.pinned(x, name, _where("#", t, r"(?m)^\s*#{1,6}\s*[^\n]{0,20}$", " "))
     # a short line that ends in a colon announces a text, but isn't one
     x = T.pinned(x, name, F.when(t.rlike(r"[:：]\s*(\n|$)"), F.regexp_replace(t, r"(?m)^[^\n]{0,30}[:：]\s*$", " ")).otherwise(t))
-    return T.pinned(x, name, F.regexp_replace(t, r"(?U)^[\s​﻿]+|[\s​﻿]+$", ""))
+    ends = F.substring(t, 1, 1).rlike(r"(?U)[\s​﻿]") | F.right(t, F.lit(1)).rlike(r"(?U)[\s​﻿]")
+    return T.pinned(x, name, F.when(ends, F.regexp_replace(t, r"(?U)^[\s​﻿]+|[\s​﻿]+$", "")).otherwise(t))
 
 
 def letters(text: Column) -> Column:
@@ -88,51 +93,74 @@ def with_exemption(df: DataFrame, text: str, name: str) -> DataFrame:
 SCRIPTS = {"hangul": r"[가-힣ᄀ-ᇿ㄰-㆏]", "latin": r"[A-Za-zÀ-ɏ]", "kana": r"[぀-ヿ]", "han": r"[一-鿿㐀-䶿]", "cyrillic": r"[Ѐ-ӿ]", "arabic": r"[؀-ۿ]", "thai": r"[฀-๿]", "devanagari": r"[ऀ-ॿ]"}
 
 
-def language(folded: Column) -> Column:
-    """The language group that most of a folded text is in: a letter of Korean, Chinese or Japanese says about
-    as much as two of an alphabet. Han with a tenth of kana is Japanese. Null without letters."""
-    # what a replacement of whole runs takes away is counted: few matches instead of one for each letter
-    n = {k: (F.length(folded) - F.length(F.regexp_replace(folded, p + "+", ""))).cast("double") for k, p in SCRIPTS.items()}
+@lru_cache(1)
+def _scripts() -> np.ndarray:
+    """For each code point of the first plane: the number of its script, from 1; 0 for none."""
+    table = np.zeros(0x10000, np.int8)
+    for i, p in enumerate(SCRIPTS.values(), 1):
+        table[[c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.match(p, chr(c))]] = i
+    return table
+
+
+def languages(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The language group that most of each folded text is in: a letter of Korean, Chinese or Japanese says about
+    as much as two of an alphabet. Han with a tenth of kana is Japanese. None without letters."""
+    count, size = len(offsets) - 1, np.diff(offsets)
+    kind = _scripts()[np.minimum(codes, 0xFFFF)]
+    by = np.bincount(np.repeat(np.arange(count) * 9, size) + kind, minlength=9 * count).reshape(count, 9)
+    n = {k: by[:, i].astype(float) for i, k in enumerate(SCRIPTS, 1)}
     cjk = n["han"] + n["kana"]
-    weight = {"ko": n["hangul"] * 2, "latin": n["latin"] * 0.8, "ja": F.when(n["kana"] >= 0.1 * cjk, cjk * 2).otherwise(0.0), "zh": F.when(n["kana"] < 0.1 * cjk, cjk * 2).otherwise(0.0), "cyrillic": n["cyrillic"], "arabic": n["arabic"], "thai": n["thai"], "devanagari": n["devanagari"]}
-    top = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(k).alias("k")) for k, w in weight.items()]))
-    # where half of the letters and more are Korean, nothing else can be the most
-    return F.when(folded == "", None).when(n["hangul"] * 2 >= F.length(folded), "ko").when(top["w"] > 0, top["k"])
-
-
-def gram_shares(answers: list[str | None], prompts: list[str | None]) -> np.ndarray:
-    """Share of the distinct runs of COPY_GRAM letters of each folded answer that its prompt has, too."""
-    n = len(answers)
-    codes, offsets = K.pack([*answers, *prompts])
-    out = np.zeros(n)
-    for a, b in K.blocks(offsets[: n + 1]):
-        part = np.r_[np.arange(a, b), np.arange(n + a, n + b)]
-        size = np.diff(offsets)[part]
-        c = np.concatenate([codes[offsets[a] : offsets[b]], codes[offsets[n + a] : offsets[n + b]]])
-        o = np.r_[0, np.cumsum(size)]
-        grams = K.windows_hash(c, COPY_GRAM).view(np.int64)
-        owner = K.owners(o, np.arange(len(grams)))
-        inside = np.arange(len(grams)) + COPY_GRAM <= o[owner + 1]
-        owner, grams = owner[inside], grams[inside]
-        order = np.lexsort((grams, owner))
-        owner, grams = owner[order], grams[order]
-        first = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])] if len(owner) else np.zeros(0, bool)
-        owner, grams = owner[first], grams[first]
-        k = b - a
-        mine = np.bincount(owner, minlength=2 * k)[:k]
-        out[a:b] = K.common(owner, grams, 2 * k, np.arange(k), np.arange(k) + k) / np.maximum(mine, 1)
+    japanese = n["kana"] >= 0.1 * cjk
+    weight = {"ko": n["hangul"] * 2, "latin": n["latin"] * 0.8, "ja": np.where(japanese, cjk * 2, 0.0), "zh": np.where(japanese, 0.0, cjk * 2)} | {k: n[k] for k in ("cyrillic", "arabic", "thai", "devanagari")}
+    names = sorted(weight, reverse=True)
+    w = np.stack([weight[k] for k in names])
+    return np.where(w.max(0) > 0, np.array(names, object)[w.argmax(0)], None)
+
+
+def gram_shares(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Share of the distinct runs of COPY_GRAM letters of each folded answer that its prompt has, too. Answers and prompts
+    take turns. Runs of a pair are told apart by as many bits of their hash as its number leaves, 44 at least."""
+    bounds = offsets[::2]
+    out = np.zeros(len(bounds) - 1)
+    for start, end in K.blocks(bounds, GRAMS_AT_ONCE):
+        for a in range(start, end, 1 << 18):
+            b = min(end, a + (1 << 18))
+            g = K.windows_hash(codes[bounds[a] : bounds[b]], COPY_GRAM)
+            if not len(g):
+                continue
+            text = np.repeat(np.arange(2 * (b - a), dtype=np.uint64), np.diff(offsets[2 * a : 2 * b + 1]))
+            inside = text[: len(g)] == text[COPY_GRAM - 1 :]
+            text, bits = text[: len(g)][inside], np.uint64(62 - (b - a).bit_length())
+            # the pair, the run, and last whether it is the prompt's: a common run is two neighbours
+            key = (((text >> U(1)) << bits | g[inside] >> (U(64) - bits)) << U(1)) | (text & U(1))
+            key.sort()
+            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            mine, pair = (key & U(1)) == 0, (key >> (bits + U(1))).astype(np.int64)
+            both = np.flatnonzero(mine[:-1] & (key[1:] == key[:-1] + U(1)))
+            out[a:b] = np.bincount(pair[both], minlength=b - a) / np.maximum(np.bincount(pair[mine], minlength=b - a), 1)
     return out
 
 
-@F.pandas_udf(DoubleType())
-def copied_share(answer: pd.Series, prompt: pd.Series) -> pd.Series:
-    return pd.Series(gram_shares(answer.tolist(), prompt.tolist()))
+@F.pandas_udf(StructType([StructField(k, t) for k, t in (("size", IntegerType()), ("prompt_size", IntegerType()), ("share", DoubleType()), ("begins", BooleanType()), ("brief", StringType()), ("answer_language", StringType()), ("prompt_language", StringType()))]))
+def compared(answer: pd.Series, prompt: pd.Series) -> pd.DataFrame:
+    """Answers and prompts without regard to case, blanks and marks: the answer's letters and digits, the share of its
+    runs that its prompt has, whether its prompt begins with it, if it is short, itself, if it is brief, and languages."""
+    raw, offsets = K.pack([t for both in zip(answer, prompt) for t in both])
+    codes = K._folding()[raw]
+    keep = codes != 0
+    codes, offsets = codes[keep], np.r_[0, np.cumsum(keep)][offsets]
+    size, spoken = np.diff(offsets)[::2], languages(codes, offsets)
+    begins, brief = np.zeros(len(size), bool), np.full(len(size), None, object)
+    for i in np.flatnonzero(size < SHORT):
+        a, b, c = offsets[2 * i : 2 * i + 3]
+        begins[i] = b - a <= c - b and (codes[a:b] == codes[b : b + b - a]).all()
+        brief[i] = codes[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+    return pd.DataFrame({"size": size, "prompt_size": np.diff(offsets)[1::2], "share": gram_shares(codes, offsets), "begins": begins, "brief": brief, "answer_language": spoken[::2], "prompt_language": spoken[1::2]})
 
 
-def copies(answer: Column, prompt: Column, share: Column) -> Column:
-    """True for a folded answer that repeats its folded prompt, whole or its opening sentences. share: copied_share()."""
-    n = F.length(answer)
-    return F.when(n >= SHORT, share >= COPY).otherwise((n >= LEAST_COPY) & prompt.startswith(answer))
+def copies(size: Column, share: Column, begins: Column) -> Column:
+    """True for an answer that repeats its prompt, whole or its opening sentences. From compared()."""
+    return F.when(size >= SHORT, share >= COPY).otherwise((size >= LEAST_COPY) & begins)
 
 
 def shared_beginning(x: str, y: str) -> int:
@@ -235,12 +263,12 @@ def evidenced_answers(df: DataFrame, keys: list[str], answer: str = "answer", pr
     are ignored."""
     base = df.select(*keys, F.col(answer).alias("_answer"), F.col(prompt).alias("_prompt"))
     x = with_content(base, "_answer", "_content")
-    x = T.pinned(T.pinned(x, "_x", letters(F.col("_content"))), "_y", letters(F.coalesce("_prompt", F.lit(""))))
-    x = T.pinned(T.pinned(x, "_la", language(F.col("_x"))), "_lp", language(F.col("_y")))
-    x = x.withColumn("_share", copied_share(F.coalesce("_x", F.lit("")), "_y"))
+    x = x.withColumn("_to", compared(F.coalesce("_content", F.lit("")), F.coalesce("_prompt", F.lit(""))))
+    to = lambda name: F.col(f"_to.{name}")
     says, short = declines(F.col("_content"))
-    refusal = says & (short | ((F.col("_y") != "") & (F.col("_share") < REFUSAL_SHARE)))
-    rule = F.when(is_empty(F.col("_answer"), F.col("_x")), "empty").when(refusal, "refusal").when(F.coalesce(F.col("_la") != F.col("_lp"), F.lit(False)), "other_language").when(F.coalesce(copies(F.col("_x"), F.col("_y"), F.col("_share")), F.lit(False)), "copy")
+    refusal = says & (short | ((to("prompt_size") > 0) & (to("share") < REFUSAL_SHARE)))
+    other = F.coalesce(to("answer_language") != to("prompt_language"), F.lit(False))
+    rule = F.when(is_empty(F.col("_answer"), F.coalesce(to("brief"), F.lit("-"))), "empty").when(refusal, "refusal").when(other, "other_language").when(copies(to("size"), to("share"), to("begins")), "copy")
     x = T.pinned(x, "_rule", rule).select(*keys, "_answer", "_rule", F.length("_answer").alias("_length"), F.xxhash64("_answer").alias("_hash"))
     judged = written(T.judged(T.ends(x, "_answer"), written(T.counted(base.where("_answer is not null"), "_answer"), "contexts")).select(*keys, "_rule", "_length", "_hash", "cut", "share", F.coalesce(F.col("word").rlike(r"[.!?。]$"), F.lit(False)).alias("_stop")), "judged")
     short = shortened_versions(base, "_answer").withColumnRenamed("text_hash", "_hash").withColumn("_short", F.lit(True))

@@ -154,3 +154,28 @@ def test_levels_on_held_out_texts(spark):
     assert all(got[i].level is None for i, *_ in odd) and len(got) == len(docs) + 3
     with pytest.raises(ValueError):
         reading.reading_levels(d, g.limit(0))
+
+
+def test_common_runs_are_those_of_sets(rng):
+    """Shares against sets of runs, in less time than a sort of them by two keys takes, which came first before."""
+    import time
+
+    from pairloom.llm import kernels as K
+
+    def shares(answers, prompts):
+        return defects.gram_shares(*K.pack([t for both in zip(answers, prompts) for t in both]))
+
+    runs = lambda t: {t[i : i + 6] for i in range(len(t) - 5)}
+    a = ["", "가나다라마", "가나다라마바", "가나다라마바" * 9, *[text(rng, 4) for _ in range(40)]]
+    b = ["가나다라마바", "", "x가나다라마바", "가나다라마바사", *[t[5:90] + text(rng, 2) if i % 2 else t for i, t in enumerate(a[4:])]]
+    want = [len(runs(x) & runs(y)) / max(1, len(runs(x))) for x, y in zip(a, b)]
+    assert shares(a, b).tolist() == pytest.approx(want)
+    assert shares([""], [""]).tolist() == [0.0] and len(shares([], [])) == 0
+    long = [text(rng, 400) for _ in range(25)]
+    keys = np.random.default_rng(1).integers(0, 2**62, 2 * sum(map(len, long)))
+    took = []
+    for work in (lambda: np.lexsort((keys, np.arange(len(keys)) * 50 // len(keys))), lambda: shares(long, long)):
+        began = time.process_time()
+        work()
+        took.append(time.process_time() - began)
+    assert shares(long, long).tolist() == [1.0] * 25 and took[1] < took[0]
